@@ -15,12 +15,31 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.secrets import scan_versions
+
+    found, _ = scan_versions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op6_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op7_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.matroska import media_features
 
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.token_count import count_tokens
 
@@ -37,10 +56,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op3_secret_ledger,
+        op6_redirect_filter,
         op7_matroska_media,
+        op8_temperature_mixture,
         op9_token_counts,
         op10_token_binary,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from lantern.llm import mixing, secrets, urls
+
+    return {
+        "op3_secret_ledger": secrets.SQL,
+        "op6_redirect_filter": urls.SQL,
+        "op8_temperature_mixture": mixing.SQL,
+    }
+
+
+ORACLE_SQL = _oracles()

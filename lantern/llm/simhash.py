@@ -242,7 +242,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     grouped = named.join(least, "component").select("fp", "component_id")
     by_fp = reps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = fps.join(by_fp, "fp")
+    out = fps.join(staged(by_fp, "simhash-by-fp"), "fp")  # a hot fingerprint is then a skewed join, which can be split
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -3,7 +3,7 @@
 Offline proof: every vocabulary string that is one pre-token is encoded by the
 tokenizers library; those that come back as one id are *whole tokens*.  Merging can't
 change them, so a pre-token found in that set counts one without any merge.  All
-other pre-tokens go through the library once and are remembered in a bounded table.
+other pre-tokens are merged by the library's model once and remembered in a bounded table.
 
 Pre-tokens here are the stretches between single spaces, each with its leading space:
 the byte-level pattern takes a space together with the non-space that follows it, so
@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,17 @@ from lantern.llm.tables import id_text
 
 LIMIT = 1024
 #: Stretches whose count a worker remembers beside the whole tokens, and the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: Characters whose classes and case no Unicode version changes, and that composing leaves alone; other text is left to the library.
+UNPLAIN = re.compile(r"[^\n\x21-\x7e\xa1-\u024f]")
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: From a byte to the character that stands for it in a byte-level vocabulary: the printed ones are themselves.
+_STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
+def byte_level(text: str) -> str:
+    return text.encode("utf-8").decode("latin-1").translate(_STAND_INS)
 _DOUBLE = re.compile(r"\s\s")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -69,10 +80,23 @@ class Counter:
         self.tokenizer = library(path)
         self.special = tuple(a.content for a in self.tokenizer.get_added_tokens_decoder().values())
         whole = whole_tokens(path)
+        self.whole = whole
         #: Stretches after a space, keyed without it.
         self.known = {x[1:]: 1 for x in whole if x[0] == " " and len(x) > 1 and not re.search(r"\s", x[1:])}
         self.base = dict(self.known)
 
+    def merged(self, parts: list[str]) -> dict[str, int]:
+        """Tokens of stretches with their leading space: whole tokens count one, the rest are merged."""
+        out, left, whole, merge = {}, [], self.whole, self.tokenizer.model.tokenize
+        for p in parts:
+            if UNPLAIN.search(p):
+                left.append(p)
+            else:
+                out[p] = sum(1 if q in whole else len(merge(byte_level(q))) for q in _PATTERN.findall(" " + p))
+        if left:
+            out.update(zip(left, lengths(self.tokenizer, [" " + p for p in left])))
+        return out
+
     def batch(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         odd, firsts, parts, sizes = [], [], [], []
@@ -89,7 +113,7 @@ class Counter:
         counts = list(map(known.get, parts))
         missing = list({p for p, c in zip(parts, counts) if c is None})
         if missing:
-            found = dict(zip(missing, lengths(self.tokenizer, [" " + p for p in missing])))
+            found = self.merged(missing)
             counts = [found[p] if c is None else c for p, c in zip(parts, counts)]
             if len(known) + len(found) > REMEMBERED + len(self.base):
                 known = self.known = dict(self.base)

@@ -17,23 +17,50 @@ committer makes retried tasks harmless, and any store that Spark writes to will
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.llm.tables import checkpoint_dir, id_text, staged
-from lantern.llm.token_count import library, slices
+from lantern.llm.token_count import byte_level, library, slices
 
 END_ID = 1
 SHARD_VALUES = 1 << 20
 #: Words a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 900_000, 64
+#: Class of each Latin-1 character: x letter, number or white space; P full stop or comma; Q other punctuation; ! neither.
+_CLASSES = bytes(
+    ord("x") if chr(c) in "\t\n\r " or (0x20 < c < 0x7F or c > 0xA0) and regex.match(r"[\p{L}\p{N}]", chr(c)) else ord("P") if chr(c) in ".," else ord("Q") if 0x20 < c < 0x7F or c > 0xA0 else ord("!")
+    for c in range(256)
+)
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The lower-case words of a Latin-1 text without control characters; None for others.
+
+    Full stops and commas become words, unless one touches other punctuation, with
+    which it would make one pre-token.
+    """
+    try:
+        kinds = text.encode("latin-1").translate(_CLASSES)
+    except UnicodeEncodeError:
+        return None
+    if b"!" in kinds:
+        return None
+    text = text.lower()
+    if not (b"PP" in kinds or b"PQ" in kinds or b"QP" in kinds):
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
+
+
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _HEAD = struct.Struct("<4sIQQ")
 _DOCS = np.dtype([("id", "<i8"), ("n", "<u4")])
 #: Of each control byte: the lengths of its four values.
@@ -47,52 +74,78 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole texts.  The pattern never crosses white space, so words are encoded once each and remembered."""
+    """Ids of whole texts; one per worker.
+
+    The pattern never crosses white space, so words are encoded once each and
+    remembered in a bounded table, which starts anew when full.  A plain text is
+    lower-cased first and has its lone full stops and commas set apart, which changes
+    no pre-token and leaves fewer different words.  Words are cut into pre-tokens and
+    merged by the library's model; odd texts are left to the library word by word.
+    Ids lie in one pool; a table entry is its place there times 2**32 plus its length.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        self.known: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.special = tuple(a.content for a in self.tokenizer.get_added_tokens_decoder().values() if " " in a.content)
+        self.special = tuple(a.content for a in self.tokenizer.get_added_tokens_decoder().values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.pool = np.empty(1 << 20, np.uint32)
+        self.used = 0
+
+    def put(self, words: list[str], ids: list[list[int]]) -> dict[str, int]:
+        sizes = [len(x) for x in ids]
+        n = sum(sizes)
+        if self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(n, len(self.pool)), np.uint32)])
+        self.pool[self.used : self.used + n] = [i for x in ids for i in x]
+        found, at = {}, self.used
+        for w, k in zip(words, sizes):
+            found[w] = at << 32 | k
+            at += k
+        self.used = at
+        return found
+
+    def add(self, missing: list[str]) -> dict[str, int]:
+        """Entries of lower-case words of plain texts."""
+        merge, ids = self.tokenizer.model.tokenize, []
+        for w in missing:
+            if w.isascii() and w.isalpha():
+                ids.append([t.id for t in merge(w)])
+            else:
+                ids.append([t.id for q in _PATTERN.findall(w) for t in merge(byte_level(q))])
+        found = self.put(missing, ids)
+        self.words.update((w, k) for w, k in found.items() if len(w) <= LONGEST)
+        return found
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by END_ID, and how many each text has."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.pool = {}, []
-        known, words, sizes = self.known, [], np.empty(len(texts), np.int64)
+        if len(self.words) > REMEMBERED or self.used > 16 * REMEMBERED:
+            self.forget()
+        words, sizes, odd = [], np.zeros(len(texts), np.int64), []
         for i, t in enumerate(texts):
-            w = t.split(" ") if not self.special else [t]
+            w = None if "<|" in t else plain_words(t)
+            if w is None:
+                odd.append(i)
+                w = [i]
             sizes[i] = len(w)
             words.extend(w)
-        at = list(map(known.get, words))
-        missing = list({w for w, k in zip(words, at) if k is None})
-        extra: list[np.ndarray] = []
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            base = len(self.pool)
-            found, keep = {}, []
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint32)
-                if len(w) <= LONGEST:
-                    found[w] = base + len(keep)
-                    known[w] = found[w]
-                    keep.append(ids)
-                else:
-                    found[w] = -1 - len(extra)
-                    extra.append(ids)
-            self.pool.extend(keep)
-            at = [found[w] if k is None else k for w, k in zip(words, at)]
-        pool = self.pool
-        ends = np.cumsum(sizes)
-        end = np.array([END_ID], np.uint32)
-        pieces, counts, start = [], np.empty(len(texts), np.int64), 0
-        for i, stop in enumerate(ends):
-            mine = [pool[k] if k >= 0 else extra[-1 - k] for k in at[start:stop]]
-            mine.append(end)
-            one = np.concatenate(mine)
-            pieces.append(one)
-            counts[i] = len(one)
-            start = stop
-        return (np.concatenate(pieces) if pieces else np.empty(0, np.uint32)), counts
+            found = self.add(list({words[k] for k in missing if type(words[k]) is str}))
+            if odd:
+                parts = [[texts[i]] if any(x in texts[i] for x in self.special) else texts[i].split(" ") for i in odd]
+                each = sorted({p for x in parts for p in x})
+                ids = dict(zip(each, (e.ids for e in self.tokenizer.encode_batch_fast(each, add_special_tokens=False))))
+                found |= self.put(odd, [[i for p in x for i in ids[p]] for x in parts])
+            at[missing] = [found[words[k]] for k in missing]
+        place, n = at >> 32, at & 0xFFFFFFFF
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(place - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.r_[0, ends][np.cumsum(sizes)]
+        return np.insert(ids, stops, END_ID), np.diff(np.r_[0, stops]) + 1
 
 
 _encoders: dict[str, Encoder] = {}
