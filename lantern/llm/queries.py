@@ -22,6 +22,12 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.decontaminate import flag
+
+    return flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.urls import judge
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup,
         op3_secret_ledger,
+        op5_template_decontamination,
         op6_redirect_filter,
         op7_matroska_media,
         op8_temperature_mixture,
@@ -66,10 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _oracles() -> dict[str, str]:
-    from lantern.llm import mixing, secrets, urls
+    from lantern.llm import decontaminate, mixing, secrets, urls
 
     return {
         "op3_secret_ledger": secrets.SQL,
+        "op5_template_decontamination": decontaminate.SQL,
         "op6_redirect_filter": urls.SQL,
         "op8_temperature_mixture": mixing.SQL,
     }
