@@ -15,6 +15,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.secrets import scan_versions
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_line_dedup,
         op3_secret_ledger,
         op5_template_decontamination,
         op6_redirect_filter,
