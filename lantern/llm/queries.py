@@ -28,6 +28,12 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op4_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.decontaminate import flag
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash_near_dedup,
         op2_line_dedup,
         op3_secret_ledger,
+        op4_toxicity_viterbi,
         op5_template_decontamination,
         op6_redirect_filter,
         op7_matroska_media,
