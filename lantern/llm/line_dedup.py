@@ -6,10 +6,15 @@ signature of BANDS x ROWS values; lines that agree on all rows of a band are can
 verified by exact Jaccard similarity (0.8 or more), and joined by distributed connected
 components.  The first occurrence in order of (doc_id, line number) stays.
 
-A bucket never meets in memory: its rows stream by in sorted order and name its first
-line as head.  Candidates are first the pairs with a head.  What those leave unconnected
-is then paired with all lines of its buckets outside its own component, so no link
-between components is lost and a group of near copies costs about one pair a line.
+A bucket never meets in memory: its rows stream by in sorted order.  Its head is its
+line with the most occurrences, which edited copies resemble most.  Candidates are first
+the pairs with a head.  What those leave unconnected is then paired with all lines of
+its buckets outside its own component, so no link between components is lost and a group
+of near copies costs about one pair a line.
+
+Before texts are compared, an upper bound of the similarity is: every line has a bitmap
+of its shingles' hashes, and a bit that only one of two lines has is a shingle that only
+it has.  Pairs that can't reach 0.8 go; the rest are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Lines whose bands a task remembers having sent, so that a common line isn't sent again and again.
 REMEMBERED = 300_000
+BITS = 1024
 _draw = np.random.default_rng(20_240_607)
 _XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -56,8 +62,8 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) of 64-bit keys, for lines of SHINGLE characters or more."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of lines of SHINGLE characters or more, in a row, and where each line starts."""
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = chars * _STEP[0]
     h ^= h >> np.uint64(29)
@@ -71,8 +77,20 @@ def band_keys(lines: list[str]) -> np.ndarray:
     n = sizes - SHINGLE + 1
     # Windows that cross into the next line are left out.
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    h32 = h32[at]
-    cuts = np.cumsum(n) - n
+    return h32[at], np.cumsum(n) - n
+
+
+def bitmap(line: str) -> bytes:
+    """BITS bits: which values the hashes of the line's shingles take."""
+    h, _ = shingle_hashes([line])
+    bits = np.zeros(BITS, np.uint8)
+    bits[h % BITS] = 1
+    return np.packbits(bits).tobytes()
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) of 64-bit keys, for lines of SHINGLE characters or more."""
+    h32, cuts = shingle_hashes(lines)
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
@@ -147,16 +165,33 @@ def _bucket_batches(batches):
 
 def _pick_batches(batches):
     for b in batches:
-        out_hi, out_lo, out_line = [], [], []
+        his, los, lines, sizes, maps = [], [], [], [], []
         for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines = t.split("\n")
+            every = t.split("\n")
             for no in set(want):
-                x = lines[no] if no < len(lines) else ""
+                x = every[no] if no < len(every) else ""
+                if len(x) < SHINGLE:  # another row of this doc_id has the line
+                    continue
                 hi, lo = line_key(x)
-                out_hi.append(hi)
-                out_lo.append(lo)
-                out_line.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out_hi, pa.int64()), pa.array(out_lo, pa.int64()), pa.array(out_line, pa.string())], names=["hi", "lo", "line"])
+                his.append(hi)
+                los.append(lo)
+                lines.append(x)
+                sizes.append(len(shingles(x)))
+                maps.append(bitmap(x))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], names=["hi", "lo", "line", "n", "bits"]
+        )
+
+
+def _may_batches(batches):
+    """Of (a, b, n, m, bits, other): the pairs that may be similar enough."""
+    for b in batches:
+        k = b.num_rows
+        n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(k, BITS // 64) for i in (4, 5))
+        most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        ok = np.flatnonzero(most >= SIMILARITY * (n + m - most) - 1e-6)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok))], names=["a", "b"])
 
 
 def _verify_batches(batches):
@@ -173,30 +208,36 @@ def _verify_batches(batches):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    a = texts.select(F.col("lo").alias("a"), F.col("line").alias("p"))
-    b = texts.select(F.col("lo").alias("b"), F.col("line").alias("q"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q")
-    return staged(both.mapInArrow(_verify_batches, "src long, dst long"), name)
+    def beside(columns: list[str], left: DataFrame) -> DataFrame:
+        for own, other in (("b", columns[1::2]), ("a", columns[0::2])):
+            left = left.join(texts.select(F.col("lo").alias(own), *[F.col(c).alias(o) for c, o in zip(("n", "bits") if len(other) == 2 else ("line",), other)]), own)
+        return left.select("a", "b", *columns)
+
+    may = staged(beside(["n", "m", "bits", "other"], pairs).mapInArrow(_may_batches, "a long, b long"), f"{name}-may")
+    return staged(beside(["p", "q"], may).mapInArrow(_verify_batches, "src long, dst long"), name)
 
 
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all lines that aren't blank: doc_id, line_no, hi, lo; first occurrence of each different line's component: hi, lo, first)."""
     base = id_text(docs)
     lines = staged(base.mapInArrow(_line_batches, "doc_id long, line_no int, hi long, lo long"), "line-all")
-    unique = staged(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("pos")), "line-unique")
+    unique = staged(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("times")), "line-unique")
     bands = base.mapInArrow(_band_batches, "key long, lo long")
-    members = staged(bands.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(_bucket_batches, "key long, lo long, head long"), "line-buckets")
-    asked = members.select("lo").union(members.select("head")).distinct()
+    met = staged(bands.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(_bucket_batches, "key long, lo long, head long"), "line-buckets")
+    met = met.select("key", "lo").union(met.select("key", "head").distinct()).join(unique.groupBy("lo").agg(F.sum("times").alias("times")), "lo")
+    heads = met.groupBy("key").agg(F.max_by("lo", F.struct("times", "lo")).alias("head"))
+    members = staged(met.join(heads, "key").select("key", "lo", "head"), "line-members")
+    asked = members.select("lo").distinct()
     where = unique.join(asked, "lo").groupBy(F.col("pos.doc_id").alias("id")).agg(F.collect_list("pos.line_no").alias("want"))
-    found = base.join(where.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want").mapInArrow(_pick_batches, "hi long, lo long, line string")
-    texts = staged(found.join(asked, "lo", "left_semi").dropDuplicates(["hi", "lo"]), "line-texts")
-    stars = members.select(F.col("head").alias("a"), F.col("lo").alias("b")).distinct()
+    found = base.join(where.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want").mapInArrow(_pick_batches, "hi long, lo long, line string, n int, bits binary")
+    texts = staged(found.join(asked, "lo", "left_semi").dropDuplicates(["hi", "lo"]), "line-texts", "lz4")
+    stars = members.where("lo <> head").select(F.col("head").alias("a"), F.col("lo").alias("b")).distinct()
     edges = _verified(stars, texts, "line-stars")
     parts = connected_components(edges, "line-cc")
     # Buckets that the heads left in more than one piece.
     label = parts.select(F.col("node").alias("lo"), "component")
-    m = members.union(members.select("key", "head", "head").distinct()).join(label, "lo", "left").withColumn("part", F.coalesce("component", "lo")).select("key", "lo", "head", "part")
-    m = staged(m, "line-members")
+    m = members.join(label, "lo", "left").withColumn("part", F.coalesce("component", "lo")).select("key", "lo", "head", "part")
+    m = staged(m, "line-parts")
     heads = m.where("lo = head").select("key", F.col("part").alias("head_part"))
     stray = m.join(heads, "key").where("part <> head_part").select("key", F.col("lo").alias("a"), F.col("part").alias("pa"))
     rest = staged(stray.join(m.where("lo <> head").select("key", F.col("lo").alias("b"), F.col("part").alias("pb")), "key").where("pa <> pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest")
