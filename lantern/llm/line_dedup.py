@@ -80,12 +80,22 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h32[at], np.cumsum(n) - n
 
 
-def bitmap(line: str) -> bytes:
-    """BITS bits: which values the hashes of the line's shingles take."""
-    h, _ = shingle_hashes([line])
-    bits = np.zeros(BITS, np.uint8)
-    bits[h % BITS] = 1
-    return np.packbits(bits).tobytes()
+def bitmaps(lines: list[str]) -> list[bytes]:
+    """BITS bits of each line: which values the hashes of its shingles take."""
+    out: list[bytes] = []
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) < 200_000):
+            size += len(lines[end])
+            end += 1
+        h, cuts = shingle_hashes(lines[at:end])
+        bits = np.zeros((end - at, BITS), np.uint8)
+        bits[np.repeat(np.arange(end - at), np.diff(np.r_[cuts, len(h)])), h % BITS] = 1
+        raw = np.packbits(bits, axis=1).tobytes()
+        out += [raw[i : i + BITS // 8] for i in range(0, len(raw), BITS // 8)]
+        at = end
+    return out
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -165,7 +175,7 @@ def _bucket_batches(batches):
 
 def _pick_batches(batches):
     for b in batches:
-        his, los, lines, sizes, maps = [], [], [], [], []
+        his, los, lines, sizes = [], [], [], []
         for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             every = t.split("\n")
             for no in set(want):
@@ -177,9 +187,8 @@ def _pick_batches(batches):
                 los.append(lo)
                 lines.append(x)
                 sizes.append(len(shingles(x)))
-                maps.append(bitmap(x))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], names=["hi", "lo", "line", "n", "bits"]
+            [pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32()), pa.array(bitmaps(lines), pa.binary())], names=["hi", "lo", "line", "n", "bits"]
         )
 
 
@@ -244,7 +253,13 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not rest.isEmpty():
         more = _verified(rest, texts, "line-more")
         if not more.isEmpty():
-            parts = connected_components(edges.union(more), "line-cc")
+            # Components as nodes: what is connected already stays so.
+            named = label.withColumnRenamed("component", "part")
+            joined = more.join(named.withColumnRenamed("lo", "src"), "src", "left").select(F.coalesce("part", "src").alias("src"), "dst")
+            joined = joined.join(named.withColumnRenamed("lo", "dst"), "dst", "left").select("src", F.coalesce("part", "dst").alias("dst"))
+            over = connected_components(joined, "line-cc").select(F.col("node").alias("old"), F.col("component").alias("new"))
+            moved = parts.join(over, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+            parts = staged(moved.union(over.join(parts, F.col("old") == F.col("node"), "left_anti").select("old", "new")), "line-cc")
     named = unique.join(parts.withColumnRenamed("node", "lo"), "lo")
     least = named.groupBy("component").agg(F.min("pos").alias("first"))
     grouped = named.join(least, "component").select("hi", "lo", "first")
