@@ -192,7 +192,7 @@ def exact_identifier(spark, sf):
 
 
 def containment_dedup(spark, sf):
-    c = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 50).alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_suppkey") % 30).alias("end_line"))
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 50).alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_suppkey") % 30).alias("end_line"))
     return ranking.drop_contained(c)
 
 

@@ -79,3 +79,11 @@ def test_empty_query_and_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lexical.bm25_scores(docs, "").count() == 0
     assert lexical.bm25_scores(docs, "word").count() == 0
+
+
+def test_containment_of_every_order(spark, tmp_path):
+    """Order keys of any size get a decision."""
+    lines = [(key, rank, part, supp) for key in (1, 1999, 2000, 600_000) for rank, part, supp in ((1, 3, 9), (2, 5, 2), (3, 40, 1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r["path"], r["rank"]) for r in catalog.containment_dedup(spark, str(tmp_path)).collect())
+    assert got == [(key, rank) for key in (1, 1999, 2000, 600_000) for rank in (1, 3)]
