@@ -87,3 +87,11 @@ def test_containment_of_every_order(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted((r["path"], r["rank"]) for r in catalog.containment_dedup(spark, str(tmp_path)).collect())
     assert got == [(key, rank) for key in (1, 1999, 2000, 600_000) for rank in (1, 3)]
+
+
+def test_definitions_in_every_document(spark, tmp_path):
+    """One row a document; definitions in plain text count, the names alone don't."""
+    texts = {0: "a\ndef load_doc_1(x):", 1: "prose", 2: "prose", 3: "class LoadDoc2 {", 4: "load_doc_1 and DocRow5 in prose", 5: "prose", 6: "def load_doc_10(x):", 7: "pub struct m::DocRow5;"}
+    spark.createDataFrame([(i, t, "s", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["one"], r["two"], r["three"]) for r in catalog.definition_match(spark, str(tmp_path)).collect()}
+    assert got == {i: (i in (0, 1), i in (2, 3), i in (5, 7)) for i in texts}
