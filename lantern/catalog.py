@@ -102,7 +102,11 @@ def chunk_ids(spark, sf):
 
 def bm25_term_stats(spark, sf):
     p = lexical.postings(table(spark, sf, "documents"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "term").limit(100)
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def bm25_corpus_stats(spark, sf):
+    return lexical.corpus_stats(table(spark, sf, "documents")).select("n", _r("avgdl"))
 
 
 def bm25_topk(spark, sf):
@@ -276,6 +280,7 @@ SELECT doc_id, sha256(concat_ws(' ', text, stem, stem, array_to_string(dirs[grea
     "chunk_ids": f"""WITH {FILES} SELECT doc_id, substr(sha256(text), 1, 16) AS chunk_hash, substr(sha256(path || ':1:' || (length(text) - length(replace(text, chr(10), '')) + 1) || ':' || text), 1, 16) AS chunk_id FROM files""",
     "bm25_term_stats": f"""WITH t AS (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term ORDER BY df DESC, term LIMIT 100""",
+    "bm25_corpus_stats": f"SELECT count(*)::BIGINT AS n, round(avg(len({_tokens_sql('text')})), 6) AS avgdl FROM documents",
     "bm25_topk": f"WITH {_bm25_sql()} SELECT id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 20",
     "vec_topk": f"WITH s AS (SELECT vec_id AS id, {_COS.format(a='embedding::DOUBLE[]', b=_QV)} AS c FROM embeddings) SELECT id, round(1 - c, 6) AS distance, round(c, 6) AS score FROM s ORDER BY 1 - c, id LIMIT 20",
     "vec_topk_filtered": f"WITH s AS (SELECT vec_id AS id, {_COS.format(a='embedding::DOUBLE[]', b=_QV)} AS c FROM embeddings WHERE label = 3) SELECT id, round(1 - c, 6) AS distance, round(c, 6) AS score FROM s ORDER BY 1 - c, id LIMIT 20",
@@ -310,7 +315,7 @@ SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' W
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tok_identifiers, enrich_path, word_counts, line_chunks, chunk_ids, bm25_term_stats, bm25_topk, vec_topk, vec_topk_filtered, vec_related, sim_matrix, hash_embed,
+        tok_identifiers, enrich_path, word_counts, line_chunks, chunk_ids, bm25_term_stats, bm25_corpus_stats, bm25_topk, vec_topk, vec_topk_filtered, vec_related, sim_matrix, hash_embed,
         hybrid_minmax, hybrid_rrf, file_coherence, path_penalty, definition_match, definition_boost, stem_boost, saturation_rerank, exact_identifier, containment_dedup,
         snapshot_diff, memo_hits, index_stats_lang, graph_expand, graph_neighbors, graph_stats, events_by_day,
     )

@@ -95,3 +95,12 @@ def test_definitions_in_every_document(spark, tmp_path):
     spark.createDataFrame([(i, t, "s", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["one"], r["two"], r["three"]) for r in catalog.definition_match(spark, str(tmp_path)).collect()}
     assert got == {i: (i in (0, 1), i in (2, 3), i in (5, 7)) for i in texts}
+
+
+def test_term_statistics_of_every_term(spark, tmp_path):
+    """Terms of one document are there as well as common ones, with N and the mean length."""
+    texts = [" ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(26)) + " common common" for i in range(8)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: (r["df"], r["cf"]) for r in catalog.bm25_term_stats(spark, str(tmp_path)).collect()}
+    assert got == {w: (1, 1) for t in texts for w in t.split() if w != "common"} | {"common": (8, 16)}
+    assert [tuple(r) for r in catalog.bm25_corpus_stats(spark, str(tmp_path)).collect()] == [(8, 28.0)]
