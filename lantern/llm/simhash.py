@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.llm.similar import similar_copies
 from lantern.llm.tables import LONG_PAIR, connected_components, id_text, staged
 
 SHINGLE = 4
@@ -247,7 +248,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group: the one with the least doc_id.
+    """`docs` with one document of each SimHash group, and of those one of each group of similar texts: the one with the least doc_id.
 
     Rows that repeat that doc_id become one row; documents without a doc_id all stay.
     """
@@ -255,5 +256,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     kept = staged(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
     out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("long") == F.col("__kept")).drop("__kept")
     if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        out = staged(out.dropDuplicates(["doc_id"]), "simhash-single")
+    copies = similar_copies(out).select(F.col("doc_id").alias("__copy"))
+    out = out.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
     return out.unionByName(docs.where("doc_id is null"))

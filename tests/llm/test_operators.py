@@ -35,6 +35,28 @@ def test_simhash(spark, hard, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_near_dedup_reaches_four_fifths(spark):
+    """Of texts whose sets of 5 words have a Jaccard similarity of 0.8 or more one stays, however many bits apart; less similar ones stay."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+        far = words[:]
+        for at in (20, 60, 100, 140, 180, 190):
+            far[at] = "other"
+        texts += [words, words[:100] + ["new"] + words[101:], words[:40] + ["x", "y"] + words[42:150] + ["z"] + words[151:], far]
+    texts = [" ".join(w) for w in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    bits = {i: brute_fp(t) for i, t in enumerate(texts)}
+    assert any((bits[i] ^ bits[j]).bit_count() > 4 for i, j in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs).collect()}
+    assert not [(i, j) for i, j in near if i in kept and j in kept]
+    linked = near + [(i, j) for i in bits for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 4]
+    assert all(any(k in pair for pair in linked) for k in bits if k not in kept) and kept >= {i for i in bits if not any(i in p for p in linked)}
+
+
 def test_simhash_lists(monkeypatch):
     """Runs of every length, in batches that cut them, link what all pairs link; long ones are reported."""
     import pyarrow as pa
