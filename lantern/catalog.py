@@ -173,7 +173,7 @@ def _f(c, alias):
 def definition_boost(spark, sf):
     c = _candidates(spark, sf)
     names = ["load_doc_1", "load_doc_9", "LoadDoc2", "DocRow5"]
-    return ranking.boost_definitions(c, names, 3.0 * F.max("score").over(ranking.everything())).select("id", _r("score"))
+    return ranking.boost_definitions(c, names, 3.0 * F.max("score").over(ranking.everything()), chunks=files(spark, sf).withColumnRenamed("doc_id", "id")).select("id", _r("score"))
 
 
 def definition_match(spark, sf):

@@ -73,12 +73,28 @@ def stem_matches(stem_col: Column, name: str) -> Column:
     return (s == n) | (bare == n.replace("_", "")) | (F.regexp_replace(s, "s+$", "") == n) | (F.regexp_replace(bare, "s+$", "") == n.replace("_", ""))
 
 
-def boost_definitions(c: DataFrame, names: list[str], unit: Column, content: str = "content", path: str = "path", score: str = "score") -> DataFrame:
-    """Chunks that define one of `names` gain `unit`, half as much again where the file is named after it."""
-    out = F.col(score)
+def boost_definitions(c: DataFrame, names: list[str], unit: Column, content: str = "content", path: str = "path", score: str = "score", chunks: DataFrame | None = None) -> DataFrame:
+    """Chunks that define one of `names` gain `unit`, half as much again where the file is named after it.
+
+    Of `chunks` (all of them, with id), those outside the candidates that define a name
+    and whose file is named after it enter with their gain as score.
+    """
+
+    def gain(unit: Column) -> Column:
+        out = F.lit(0.0)
+        for name in names:
+            out = out + F.when(defines(F.col(content), name), unit * F.when(stem_matches(stem(F.col(path)), name), 1.5).otherwise(1.0)).otherwise(0.0)
+        return out
+
+    boosted = c.withColumn(score, F.col(score) + gain(unit))
+    if chunks is None or not names:
+        return boosted
+    named = F.lit(False)
     for name in names:
-        out = out + F.when(defines(F.col(content), name), unit * F.when(stem_matches(stem(F.col(path)), name), 1.5).otherwise(1.0)).otherwise(0.0)
-    return c.withColumn(score, out)
+        named = named | (stem_matches(stem(F.col(path)), name) & defines(F.col(content), name))
+    one = c.select(unit.alias("__unit")).limit(1)
+    more = chunks.where(named).join(c.select("id"), "id", "left_anti").crossJoin(F.broadcast(one))
+    return boosted.unionByName(more.withColumn(score, gain(F.col("__unit"))).drop("__unit"), allowMissingColumns=True)
 
 
 def query_keywords(query: str) -> list[str]:

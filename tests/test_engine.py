@@ -104,3 +104,14 @@ def test_term_statistics_of_every_term(spark, tmp_path):
     got = {r["term"]: (r["df"], r["cf"]) for r in catalog.bm25_term_stats(spark, str(tmp_path)).collect()}
     assert got == {w: (1, 1) for t in texts for w in t.split() if w != "common"} | {"common": (8, 16)}
     assert [tuple(r) for r in catalog.bm25_corpus_stats(spark, str(tmp_path)).collect()] == [(8, 28.0)]
+
+
+def test_definers_outside_the_candidates(spark, duck):
+    """They enter with their gain if their file is named after the symbol; the query still equals its SQL."""
+    rows = [(1, "a/x.py", "def load_doc(p):", 2.0), (2, "a/load_doc.py", "no definition", 1.0), (3, "b/load_doc.py", "def load_doc(p):", None), (4, "b/y.py", "def load_doc(p):", None), (5, "b/loaddoc.py", "load_doc()", None)]
+    every = spark.createDataFrame(rows, "id long, path string, content string, score double")
+    unit = 3.0 * F.max("score").over(ranking.everything())
+    got = ranking.boost_definitions(every.where("score is not null"), ["load_doc"], unit, chunks=every.drop("score")).collect()
+    assert sorted((r["id"], r["score"]) for r in got) == [(1, 8.0), (2, 1.0), (3, 9.0)]
+    mine = catalog.definition_boost(spark, SF).collect()
+    assert sorted(tuple(r) for r in mine) == sorted(duck.execute(catalog.ORACLE_SQL["definition_boost"]).fetchall())
