@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("spark.lantern.checkpoint.dir", None)
     if not own:
         own = f"/tmp/checkpoints/lantern-{uuid.uuid4().hex}"
@@ -37,6 +39,48 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are broadcast at most: two longs each, some 10 MB as a hash table.
+BROADCAST_ROWS = 100_000
+
+
+def beside(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of ids, as one side of a join: broadcast if it has `most` rows or fewer, else hashed after a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart by id and text, null ids included: (the id, or a hash of the text; a hash of the text).
+
+    Rows of one id with different texts differ, and rows that agree in both are one
+    row repeated, on which every decision is the same.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("long"), h), h
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str = "rows") -> DataFrame:
+    """Inner join on `key`, unique in `right`, where single keys may hold any part of `left`.
+
+    `right` has a column `count`, the rows of `left` with its key, which isn't returned;
+    `rows` is their sum.  Keys with a thousandth of all rows or more are a thousand at
+    most, so they are broadcast; only rows of other keys are shuffled by it.
+    """
+    hot = F.col(count) * 1000 >= rows
+    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot).drop(count), key)
+    return left.join(F.broadcast(right.where(hot).drop(count)), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

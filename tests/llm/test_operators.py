@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lantern.llm import decontaminate, line_dedup, matroska, mixing, secrets, simhash, token_count, token_ids, toxicity, urls
 from lantern.llm.tables import connected_components
@@ -200,6 +201,23 @@ def test_decontamination(spark, hard, empty):
     assert decontaminate.flag(empty, bench).count() == 0 and decontaminate.flag(hard, bench.limit(0)).count() == HARD_ROWS
 
 
+def test_decontamination_of_long_runs_short_items_and_repeated_ids(spark):
+    """Runs of names and numbers don't end the stack; short items and lists of numbers are found; rows are judged one by one."""
+    q = "If Anna Smith buys 12 apples for 3 dollars and gives 12 kg of them to Bob, how many apples does she have left today?"
+    bench = spark.createDataFrame([(1, q), (2, "Bravo zulu quux"), (3, "17 29 31 47 53 61"), (None, "an item without an id is here too"), (5, "")], "item_id long, text string")
+    half = len(q) // 2
+    docs = [
+        (1, "see " + "Anna " * 20_000), (2, "1." * 20_000), (3, "they said bravo ZULU, quux!"), (4, "so 17, 29, 31, 47 and 53, 61"), (5, "17 29 31 47 53 61 end"), (6, "17 29 31 48 53 61 end"),
+        (7, q[:half // 2]), (7, q[half:half + half // 2]), (8, q), (8, "clean"), (None, q), (None, "clean"), (9, "An item without an ID is here, too."),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"k": F.lit(1), "h": F.lit("x"), "w": F.lit(2)})
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["contaminated"], r["items"]) for r in decontaminate.flag(d, bench).collect() if r["doc_id"] is not None)
+    assert [(i, c, items) for _, i, c, items in got] == [(1, False, ""), (2, False, ""), (3, True, "2"), (4, False, ""), (5, True, "3"), (6, False, ""), (7, False, ""), (7, False, ""), (8, False, ""), (8, True, "1"), (9, True, "")]
+    kept = decontaminate.decontaminate(d, bench)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in kept.collect()) == sorted((i or 0, t[:5]) for i, t in docs if i in (1, 2, 4, 6, 7) or t == "clean")
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.Example.NET/en/x?q", None), (2, "https://x.net/", "<p>"), (3, "http://example.com/de/1", ""), (4, "http://a.org/fr/1", '<link rel="canonical" href="http://example.com/de/9">'),
