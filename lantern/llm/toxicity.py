@@ -17,7 +17,6 @@ import functools
 import math
 import re
 import zlib
-from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -25,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.tables import id_text, staged
+from lantern.llm.tables import id_text, staged, unused
 from lantern.llm.token_count import slices
 
 THRESHOLD = 0.7
-#: Labelled rows that are learned from at most, and features that are chosen at most.
-MAX_TRAIN, MAX_FEATURES = 20_000, 4_000
+#: Labelled rows that are learned from at most.
+MAX_TRAIN = 20_000
 PREFIXES = (4, 5, 6, 7)
 #: Toxic documents that a feature needs, and how many times likelier it has to be there.
 MIN_TOXIC, MIN_RATIO = 3, 8.0
@@ -38,9 +37,11 @@ SYMBOLS = 28  # 0 boundary, 1-26 a-z without marks, 27 other letters
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Channel costs in nats: a sign for a letter, the sign itself, a run cut to one or to two letters, a gap closed or kept.
 SWAP, KEEP, ONE, TWO, CLOSE, OPEN = 1.0, 7.0, 0.4, 1.2, 0.2, 1.0
-_LEET_TOKEN = re.compile(r"(?<![^\s\"'(\[])(?=[^\s]*[^\W\d_])(?=[^\s]*[0-9@$!|+])(?:[^\W_]|[@$|+]|!(?=\w))+(?![^\s.,;:!?\"')\]])")
+_RUN, _SIGN, _LETTER = re.compile(r"\S+"), re.compile(r"[0-9@$!|+]"), re.compile(r"[^\W\d_]")
+#: Within a run without white space: starts and ends of matches never overlap, so every run costs linear time.
+_LEET_TOKEN = re.compile(r"(?<![^\"'(\[])(?:[^\W_]|[@$|+]|!(?=\w))+(?![^.,;:!?\"')\]])")
 _SPACED = re.compile(r"(?<![^\s\"'(\[])(?:[^\W_]|[@$|+!])(?:([ .\-_*])(?:[^\W_]|[@$|+!]))(?:\1(?:[^\W_]|[@$|+!])){2,}(?![^\s.,;:!?\"')\]])")
-_REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,7 +69,7 @@ def _trigrams(batches):
     total = np.zeros(SYMBOLS**3, np.int64)
     for whole in batches:
         for b in slices(whole, 256):
-            s = symbols("\n\n" + "\n\n".join(b.column(1).to_pylist()) + "\n").astype(np.int32)
+            s = symbols("\n\n" + "\n\n".join(b.column(1).to_pylist()) + "\n\n").astype(np.int32)
             total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
@@ -151,21 +152,64 @@ def suspicious(text: str) -> bool:
         return True
     v = np.frombuffer(raw.lower(), np.uint8)
     same = (v[2:] == v[1:-1]) & (v[1:-1] == v[:-2])
-    return bool(same.any()) and _REPEAT.search(text.lower()) is not None
+    return bool(same.any()) and _TRIPLE.search(text.lower()) is not None
+
+
+def leet_spans(text: str):
+    """(start, end) of tokens with a digit or sign that may stand for a letter, and a letter, in the rest of their run."""
+    for m in _RUN.finditer(text):
+        run = m[0]
+        if run.isalpha() or not _SIGN.search(run):
+            continue
+        back = run[::-1]
+        letter = _LETTER.search(back)
+        if letter:
+            last = len(run) - 1 - max(letter.start(), _SIGN.search(back).start())
+            for t in _LEET_TOKEN.finditer(run):
+                if t.start() > last:
+                    break
+                yield m.start() + t.start(), m.start() + t.end()
+
+
+def repeat_spans(text: str):
+    """(start, end) of words that have a letter three times in a row."""
+    done = 0
+    for m in _TRIPLE.finditer(text):
+        if m.start() >= done:
+            start = m.start()
+            while start > done and _LETTER.match(text, start - 1):
+                start -= 1
+            rest = _WORD.match(text, m.end())
+            done = rest.end() if rest else m.end()
+            yield start, done
 
 
 class Restorer:
-    """Restored texts; spans that came before are remembered, up to a bound."""
+    """Restored texts; spans of up to 64 characters that came before are remembered, up to a bound.
+
+    Time is linear in the text: every pattern visits a character a bounded number of times.
+    """
 
     def __init__(self, cost: np.ndarray):
-        self.read = functools.lru_cache(maxsize=50_000)(lambda span: viterbi(span, cost))
+        self.cost = cost
+        self.remembered = functools.lru_cache(maxsize=50_000)(lambda span: viterbi(span, cost))
+
+    def read(self, span: str) -> str:
+        return self.remembered(span) if len(span) <= 64 else viterbi(span, self.cost)
+
+    def replaced(self, text: str, spans) -> str:
+        out, at = [], 0
+        for s, e in spans:
+            out += [text[at:s], self.read(text[s:e])]
+            at = e
+        return "".join(out) + text[at:] if out else text
 
     def __call__(self, text: str) -> str:
         if not suspicious(text):
             return text
-        for pattern in (_SPACED, _LEET_TOKEN, _REPEAT):
-            text = pattern.sub(lambda m: self.read(m[0]), text.lower() if pattern is _REPEAT else text)
-        return text
+        text = _SPACED.sub(lambda m: self.read(m[0]), text)
+        text = self.replaced(text, leet_spans(text)).lower()
+        return self.replaced(text, repeat_spans(text))
 
 
 def features(restored: str) -> set[str]:
@@ -214,63 +258,66 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, max_train: int =
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(cost)
 
-    def present(batches):
+    def extract(batches):
         restore = Restorer(shared.value)
         for whole in batches:
-            for b in slices(whole, 2000):
-                seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    seen[y].update(features(restore(t)))
-                names = list(seen[0] | seen[1])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], names=["feature", "t", "c"])
-
-    rows = staged(train_rows(docs, labels, max_train), "tox-train")
+            for b in slices(whole, 512):
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(features(restore(t))) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["toxic", "has"])
+
+    rows = staged(train_rows(docs, labels, max_train).mapInArrow(extract, "toxic int, has array<string>"), "tox-train")
     size = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, n = size["t"] or 0, size["n"] or 0
-    counts = rows.mapInArrow(present, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = rows.select("toxic", F.explode("has").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     p, q = F.col("t") / F.lit(toxic + 1.0), (F.col("c") + 0.5) / F.lit(n - toxic + 1.0)
-    chosen = counts.where((F.col("t") >= MIN_TOXIC) & (p >= MIN_RATIO * q)).withColumn("gain", F.col("t") * F.log(p / q))
-    names = [r["feature"] for r in chosen.orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).collect()]  # the bound
+    # Of MAX_TRAIN rows at most, as are the rows below: what comes to the driver doesn't grow with the corpus.
+    names = [r["feature"] for r in counts.where((F.col("t") >= MIN_TOXIC) & (p >= MIN_RATIO * q)).withColumn("gain", F.col("t") * F.log(p / q)).orderBy(F.desc("gain"), "feature").select("feature").collect()]
     index = spark.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def design(batches):
-        restore, at = Restorer(shared.value), index.value
-        for whole in batches:
-            for b in slices(whole, 2000):
-                cols = [[at[x] for x in features(restore(t)) if x in at] for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(c) for c in cols], pa.list_(pa.int32()))], names=["toxic", "cols"])
+        at = index.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(at[x] for x in has if x in at) for has in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "cols"])
 
-    got = sorted((r["toxic"], list(r["cols"])) for r in rows.mapInArrow(design, "toxic int, cols array<int>").collect())  # MAX_TRAIN rows at most
+    got = sorted((r["toxic"], list(r["cols"])) for r in rows.mapInArrow(design, "toxic int, cols array<int>").collect())
     w, b = fit(got, len(names))
     return {x: float(v) for x, v in zip(names, w) if abs(v) > 1e-4}, b
 
 
+class Scorer:
+    """Scores of texts under a learned model."""
+
+    def __init__(self, cost: np.ndarray, weights: dict[str, float], bias: float):
+        self.restore, self.bias = Restorer(cost), bias
+        self.words = {x: v for x, v in weights.items() if x[-1] != "*"}
+        self.starts = {k: {x[:-1]: v for x, v in weights.items() if x[-1] == "*" and len(x) == k + 1} for k in PREFIXES}
+
+    def __call__(self, text: str) -> float:
+        words = set(_WORD.findall(self.restore(text).lower()))
+        z = self.bias + math.fsum(self.words[w] for w in words & self.words.keys())
+        for k, table in self.starts.items():
+            if table:
+                z += math.fsum(table[x] for x in {w[:k] for w in words if len(w) >= k} & table.keys())
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def _model(docs: DataFrame, labels: DataFrame, max_train: int):
+    cost = character_model(docs)
+    return docs.sparkSession.sparkContext.broadcast((cost, *learn(docs, labels, cost, max_train)))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """Every row: doc_id, held_out, score (0 to 1), predicted (score >= 0.7).
 
     Null and empty texts get the score of a text without features; null doc_ids count
     as not held out; repeated rows stay; without labels everything scores low.
     """
-    spark = docs.sparkSession
-    cost = character_model(docs)
-    weights, bias = learn(docs, labels, cost, max_train)
-    shared = spark.sparkContext.broadcast((cost, weights, bias))
+    shared = _model(docs, labels, max_train)
 
     def run(batches):
-        model, weight, base = shared.value
-        restore = Restorer(model)
-        whole_words = {x: v for x, v in weight.items() if x[-1] != "*"}
-        starts = {k: {x[:-1]: v for x, v in weight.items() if x[-1] == "*" and len(x) == k + 1} for k in PREFIXES}
+        score = Scorer(*shared.value)
         for whole in batches:
             for b in slices(whole, 512):
-                scores = []
-                for t in b.column(1).to_pylist():
-                    words = set(_WORD.findall(restore(t).lower()))
-                    z = base + sum(whole_words[w] for w in words & whole_words.keys())
-                    for k, table in starts.items():
-                        if table:
-                            z += sum(table[x] for x in {w[:k] for w in words if len(w) >= k} & table.keys())
-                    scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+                scores = [score(t) for t in b.column(1).to_pylist()]
                 ids = b.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([i is not None and held_out(i) for i in ids]), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"]
@@ -280,6 +327,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic; rows without doc_id are judged together with others and stay."""
-    bad = staged(score_documents(docs, labels, max_train).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct(), "tox-bad")
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    """The rows of `docs` whose text isn't predicted toxic, with all their columns.
+
+    Every row is judged by itself where it is read, so there is no join: null and
+    repeated doc_ids need no care, and no row moves.
+    """
+    shared = _model(docs, labels, max_train)
+    (extra,) = unused(docs, "judged")
+
+    def run(batches):
+        score = Scorer(*shared.value)
+        for whole in batches:
+            for b in slices(whole, 512):
+                fine = [score(t) < THRESHOLD for t in b.column(b.num_columns - 1).to_pylist()]
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(fine, pa.bool_()))
+
+    return docs.withColumn(extra, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lantern.llm import decontaminate, line_dedup, matroska, mixing, secrets, simhash, token_count, token_ids, toxicity, urls
@@ -171,6 +174,61 @@ def test_toxicity(spark, hard, empty):
     assert toxicity.score_documents(empty, labels).count() == 0
 
 
+_OLD_LEET = re.compile(r"(?<![^\s\"'(\[])(?=[^\s]*[^\W\d_])(?=[^\s]*[0-9@$!|+])(?:[^\W_]|[@$|+]|!(?=\w))+(?![^\s.,;:!?\"')\]])")
+_OLD_REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+
+
+def plain_restore(text, cost):
+    """The patterns written down plainly; their time is quadratic."""
+    for pattern in (toxicity._SPACED, _OLD_LEET, _OLD_REPEAT):
+        text = pattern.sub(lambda m: toxicity.viterbi(m[0], cost), text.lower() if pattern is _OLD_REPEAT else text)
+    return text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aab oO01!@$|+ .,-_(\"'[)?éß漢İ\n", max_size=40))
+def test_spans_as_plain_patterns(text):
+    assert list(toxicity.leet_spans(text)) == [m.span() for m in _OLD_LEET.finditer(text)]
+    assert list(toxicity.repeat_spans(text)) == [m.span() for m in _OLD_REPEAT.finditer(text)]
+
+
+def test_restoring_takes_linear_time():
+    restore = toxicity.Restorer(toxicity.model_of(np.ones(toxicity.SYMBOLS**3)))
+    rng = random.Random(1)
+    for text in ("".join(rng.choices("漢字仮名交文", k=100_000)), "(" * 100_000, "stup1d " + "abcdefghij" * 10_000, "a." * 50_000 + "_", "漢" * 100_000):
+        start = time.process_time()
+        restore(text)
+        assert time.process_time() - start < 1
+
+
+def test_scores_by_brute_force(spark):
+    """Character counts, restored texts and scores again in plain Python; rejected are the rows at the threshold and above, whatever their id."""
+    docs = [(i, f"plain words number {i} here " + ("you stupid moron" if i % 5 == 0 else "all good") + f" w{i % 17}x") for i in range(200)]
+    docs += [(None, "such a m o r o n and stup1d st00pid"), (7, "you sooo stupid, m0ron!"), (None, None), (300, ""), (301, "漢字 ça va")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"judged": F.lit(1), "toxic": F.lit(True)})
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for _, t in docs:
+        s = [0, 0, *(int(toxicity._FOLD[min(ord(c), 0x2FF)]) for c in t or ""), 0, 0]
+        for x, y, z in zip(s, s[1:], s[2:]):
+            counts[(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z] += 1
+    cost = toxicity.model_of(counts)
+    got = toxicity.character_model(d)
+    weights, bias = toxicity.learn(d, labels, got)
+    assert weights and np.abs(got - cost).max() < 1e-9
+    want = []
+    for i, t in docs:
+        z = bias + sum(weights.get(f, 0) for f in toxicity.features(plain_restore(t or "", got)))
+        want.append((i is None, i, round(1 / (1 + np.exp(-z)), 9)))
+    scored = toxicity.score_documents(d, labels).collect()
+    key = lambda r: (r[0], r[1] or 0, r[2])
+    assert sorted(((r["doc_id"] is None, r["doc_id"], round(r["score"], 9)) for r in scored), key=key) == sorted(want, key=key)
+    kept = toxicity.reject_toxic(d, labels)
+    assert kept.columns == d.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(repr(x) for x, w in zip(docs, want) if w[2] < toxicity.THRESHOLD)
+    assert sum(w[2] >= toxicity.THRESHOLD for w in want) == 42
+
+
 def test_viterbi_is_the_cheapest_path():
     from itertools import product
 
