@@ -2,12 +2,13 @@
 
 Method: a byte-position inverted index with count filtering.  A fingerprint is eight
 (position, byte) postings.  Two fingerprints that differ in at most four bits differ
-in at most four bytes, so they share at least four postings.  Posting lists of a
-single byte hold 1/256 of all rows, and their pairs would grow with the square of the
-input; the index therefore keeps posting lists of the *intersections* of four
-positions (70 of them, 32 bits each).  Pairs that meet in a list have their shared
-positional bytes tallied, those with fewer than four are dropped, and the rest are
-verified by Hamming distance.
+in at most four bytes, so they share at least four postings: the guaranteed minimum.
+Lists of a single posting hold 1/256 of all rows, and their pairs would grow with the
+square of the input; the index keeps the intersections of three postings instead, for
+20 of the 56 triples of positions, chosen so that any four positions hold one of them
+(the smallest such choice).  Pairs that meet in a list share three postings at least;
+their shared postings are tallied over all eight positions, pairs below four dropped,
+and the rest verified by Hamming distance.
 
 Exact copies collapse to one fingerprint first.  Within a list only the edges of a
 spanning forest come out, so groups of near copies cost no quadratic output; lists
@@ -24,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.similar import similar_copies
-from lantern.llm.tables import LONG_PAIR, connected_components, id_text, staged
+from lantern.llm.buckets import Matcher, _long_links, forest
+from lantern.llm.tables import LONG_PAIR, beside, connected_components, id_text, join_hot, row_key, staged, unused
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -77,8 +78,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _masks() -> list[int]:
+    """Bytes at three positions: within a group of positions, or two of one group and one of the next."""
+    groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    triples = [t for g in groups for t in combinations(g, 3)]
+    triples += [(*two, one) for k, g in enumerate(groups) for two in combinations(g, 2) for one in groups[(k + 1) % 3]]
     out = []
-    for keep in combinations(range(8), MIN_SHARED):
+    for keep in triples:
         m = sum(0xFF << (8 * p) for p in keep)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out
@@ -93,23 +98,18 @@ def linked(x: np.ndarray, y) -> np.ndarray:
     return ok
 
 
+class PrintMatcher(Matcher):
+    def __init__(self, fps: list[int]):
+        self.fps = np.array(fps, np.int64).view(np.uint64)
+
+    def may(self, x: int, others: np.ndarray) -> np.ndarray:
+        return linked(self.fps[others], self.fps[x])
+
+
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among distinct fingerprints."""
-    left, a, b = fps, [], []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            ok = linked(left, x)
-            if ok.any():
-                near = left[ok]
-                a.append(np.full(len(near), x))
-                b.append(near)
-                front.extend(near)
-                left = left[~ok]
-    if not a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(a), np.concatenate(b)
+    pairs = np.array(forest(len(fps), PrintMatcher(fps.view(np.int64))), np.int64).reshape(-1, 2)
+    return fps[pairs[:, 0]], fps[pairs[:, 1]]
 
 
 def _edges(key: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
@@ -182,52 +182,27 @@ def _split_long(key: np.ndarray, fp: np.ndarray, dropped: int) -> tuple[list, li
     return (*(_edges(key, fp) if len(key) else ([], [])), long)
 
 
-def _block_pairs(batches):
-    """Pairs of blocks of one long list: rows (key, i, j, side, fp), grouped by (key, i, j)."""
-    held, group = {0: [], 1: []}, None
-
-    def links():
-        x = np.array(held[0], np.int64).view(np.uint64)
-        y = np.array(held[1], np.int64).view(np.uint64)
-        a, b = [], []
-        for v in x:
-            near = y[linked(y, v)] if len(y) else y
-            a.append(np.full(len(near), v))
-            b.append(near)
-        if group[1] == group[2]:
-            fa, fb = _forest(np.unique(x))
-            a, b = [fa], [fb]
-        return _rows(a, b, [])
-
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for k, i, j, side, fp in zip(*cols):
-            if (k, i, j) != group:
-                if group is not None:
-                    yield links()
-                held, group = {0: [], 1: []}, (k, i, j)
-            held[side].append(fp)
-    if group is not None:
-        yield links()
-
-
 def links(reps: DataFrame) -> DataFrame:
     """Links among distinct fingerprints (column fp): a, b; every component of links stays connected."""
-    keys = reps.select(F.explode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()])).alias("key"), "fp")
+    keys = reps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(_masks())])).alias("l"), "fp").select(F.xxhash64("l.i", "l.v").alias("key"), "fp")
     found = staged(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_list_batches, LONG_PAIR), "simhash-links")
     edges = found.where("key is null").select("a", "b")
     long = found.where("key is not null").groupBy("key").agg(F.max("n").alias("n"))
     if not long.isEmpty():
-        # A list without bound: blocks by hash, each pair of blocks a group of its own.
-        mine = keys.distinct().join(long, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK * 2).cast("int"))
-        mine = mine.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        dealt = mine.select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), F.when(F.col("i") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
-        more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_pairs, LONG_PAIR)
-        edges = edges.union(staged(more, "simhash-blocks").select("a", "b"))
+        rows = keys.select("key", F.col("fp").alias("id"), F.col("fp").alias("payload"))
+        edges = edges.union(staged(_long_links(rows, long, PrintMatcher), "simhash-blocks"))
     return edges
 
 
+def components(fps: DataFrame, first: DataFrame) -> DataFrame:
+    """fp and first of every fingerprint: the least `first` of its component.  `first` has fp, once each, and first."""
+    parts = connected_components(links(first).select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-cc")
+    named = first.join(parts.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "first")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    grouped = named.join(least, "component").select("fp", "least")
+    return first.join(grouped, "fp", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, fp, fingerprint (hex) and component_id.
 
@@ -237,26 +212,51 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     but never name a component; other columns of `docs` are not read.
     """
     fps = staged(fingerprints(docs), "simhash-fp")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(links(reps).select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-cc")
-    named = reps.join(parts.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "rep")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    grouped = named.join(least, "component").select("fp", "component_id")
-    by_fp = reps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = fps.join(staged(by_fp, "simhash-by-fp"), "fp")  # a hot fingerprint is then a skewed join, which can be split
+    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "simhash-reps")
+    by_fp = staged(components(fps, reps), "simhash-by-fp")
+    out = join_hot(fps, by_fp.withColumnRenamed("first", "component_id"), ["fp"], fps.count())
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_batches(batches):
+    from lantern.llm.similar import keys_of
+
+    for b in batches:
+        texts = b.column(3).to_pylist()
+        marks = np.array([fingerprint(shingle_hashes(t)) for t in texts], dtype=np.uint64)
+        keys = pa.array([keys_of(t) for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks.view(np.int64)), keys], names=["doc_id", "k", "h", "fp", "keys"])
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each SimHash group, and of those one of each group of similar texts: the one with the least doc_id.
+    """`docs` with one document of each SimHash group, and of those one of each group of similar texts (`similar`).
 
-    Rows that repeat that doc_id become one row; documents without a doc_id all stay.
+    The one with the least doc_id stays, of rows that share it the one with the least
+    hash of its text, and rows without doc_id only where no other is in the group.
+    Rows that repeat doc_id and text become one.
     """
-    groups = simhash_groups(docs)
-    kept = staged(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("long") == F.col("__kept")).drop("__kept")
-    if not kept.where("rows > 1").isEmpty():
-        out = staged(out.dropDuplicates(["doc_id"]), "simhash-single")
-    copies = similar_copies(out).select(F.col("doc_id").alias("__copy"))
-    out = out.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
-    return out.unionByName(docs.where("doc_id is null"))
+    from lantern.llm.similar import similar_groups
+
+    k, h = row_key()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), h.alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fps = staged(rows.mapInArrow(_row_batches, "doc_id long, k long, h long, fp long, keys array<long>"), "simhash-fp")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h", "k")
+    reps = staged(fps.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")), "simhash-reps")
+    kept = components(fps, reps).select("first.*").distinct()
+    # Numbers in that order, fixed by being written: similar texts need one column.
+    kept = staged(kept.sort("absent", "doc_id", "h").select("k", "h", F.monotonically_increasing_id().alias("id")), "simhash-kept")
+    again = not fps.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    once = (lambda df: df.dropDuplicates(["id"])) if again else (lambda df: df)
+
+    def texts(asked: DataFrame) -> DataFrame:
+        who = staged(kept.join(asked, "id"), "simhash-asked")
+        return once(rows.join(beside(who), ["k", "h"]).select("id", "text"))
+
+    similar = similar_groups(once(fps.select("k", "h", "keys").join(kept, ["k", "h"]).select("id", "keys")), texts)
+    copies = similar.where("node <> component").select(F.col("node").alias("id"))
+    x, y, number = unused(docs, "k", "h", "number")
+    final = staged(kept.join(copies, "id", "left_anti").select(F.col("k").alias(x), F.col("h").alias(y), F.col("id").alias(number)), "simhash-final")
+    out = docs.join(final.hint("shuffle_hash"), (k == F.col(x)) & (h == F.col(y)))
+    if again:
+        out = out.dropDuplicates([number])
+    return out.select(*[out[c] for c in docs.columns])

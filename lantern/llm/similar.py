@@ -3,21 +3,21 @@
 SimHash within four bits finds few pairs of that similarity, and byte positions tell
 nothing beyond seven bits (eight may touch every byte).  Here texts that agree on all
 rows of a MinHash band are candidates, verified by exact Jaccard similarity of their
-shingle sets and joined by connected components.  As in `line_dedup`, candidates are
-first the pairs with the head of a bucket; what those leave unconnected is paired with
-all of its bucket outside its own component.
+shingle sets, bucket by bucket (`buckets`), and joined by connected components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm import simhash
-from lantern.llm.line_dedup import _bucket_batches
-from lantern.llm.tables import connected_components, id_text, staged
+from lantern.llm.buckets import Matcher, links_in_buckets, members
+from lantern.llm.tables import connected_components, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair meets in some band with probability 0.998, at 0.9 with more than 0.99999.
@@ -46,65 +46,44 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _band_batches(batches):
-    for b in batches:
-        ids, keys = [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            h = shingle_set(t)
-            if len(h):
-                ids.append(i)
-                keys.append(band_keys(h))
-        keys = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["key", "lo"])
+def keys_of(text: str) -> list[int] | None:
+    """BANDS keys of a text as signed longs; None without words."""
+    h = shingle_set(text)
+    return band_keys(h).view(np.int64).tolist() if len(h) else None
 
 
 def _set_batches(batches):
     for b in batches:
         sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "n", "hashes"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "payload"])
+
 
+class SetMatcher(Matcher):
+    """Jaccard similarity of SIMILARITY or more between sets given as sorted hashes."""
 
-def _verify_batches(batches):
-    for batch in batches:
-        src, dst = [], []
-        for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9:
-                src.append(a)
-                dst.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+    def __init__(self, sets: list[bytes]):
+        self.sets = sets
+        self.sizes = np.array([len(x) // 8 for x in sets], np.int64)
 
+    def may(self, x: int, others: np.ndarray) -> np.ndarray:
+        n, m = self.sizes[x], self.sizes[others]
+        return np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9
 
-def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Pairs a, b that are similar enough; those whose sizes rule it out are not compared."""
-    x = sets.select(F.col("doc_id").alias("a"), "n", F.col("hashes").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"))
-    beside = pairs.join(x, "a").join(y, "b").where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9)
-    return staged(beside.select("a", "b", "x", "y").mapInArrow(_verify_batches, "src long, dst long"), name)
+    def sure(self, x: int, y: int) -> bool:
+        a, b = np.frombuffer(self.sets[x], np.uint64), np.frombuffer(self.sets[y], np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
 
-def similar_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of the rows that are similar to others and don't have the least doc_id of their component.
+def similar_groups(bands: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and component (the least id) of ids that are similar to another.
 
-    doc_ids must not repeat; rows without one, and texts without words, are not compared.
+    `bands` has id and keys (`keys_of`, null without words); `texts` gives id and text
+    for a staged table of ids, those that share a bucket with another.
     """
-    base = id_text(docs).where("doc_id is not null")
-    bands = base.mapInArrow(_band_batches, "key long, lo long")
-    met = staged(bands.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(_bucket_batches, "key long, lo long, head long"), "similar-buckets")
-    asked = met.select(F.col("lo").alias("doc_id")).union(met.select("head")).distinct()
-    sets = staged(base.join(asked, "doc_id").mapInArrow(_set_batches, "doc_id long, n int, hashes binary"), "similar-sets", "lz4")
-    edges = _verified(met.select(F.col("head").alias("a"), F.col("lo").alias("b")).distinct(), sets, "similar-stars")
-    parts = connected_components(edges, "similar-cc")
-    # Buckets that the heads left in more than one piece.
-    label = parts.select(F.col("node").alias("lo"), "component")
-    m = staged(met.join(label, "lo", "left").select("key", "lo", "head", F.coalesce("component", "lo").alias("part")), "similar-parts")
-    top = label.select(F.col("lo").alias("head"), F.col("component").alias("top"))
-    stray = m.join(top, "head", "left").where("part <> coalesce(top, head)").select("key", F.col("lo").alias("a"), F.col("part").alias("pa"))
-    other = m.select("key", F.col("lo").alias("b"), F.col("part").alias("pb"))
-    rest = staged(stray.join(other, "key").where("pa <> pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-rest")
-    if not rest.isEmpty():
-        more = _verified(rest, sets, "similar-more")
-        if not more.isEmpty():
-            parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more), "similar-cc")
-    return staged(parts.where("node <> component").select(F.col("node").alias("doc_id")), "similar-copies")
+    rows = bands.select(F.explode("keys").alias("key"), "id")
+    met = staged(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: members(b, ["key", "id"]), "key long, id long"), "similar-buckets")
+    asked = staged(met.select("id").distinct(), "similar-asked")
+    sets = staged(texts(asked).select("id", "text").mapInArrow(_set_batches, "id long, payload binary"), "similar-sets", "lz4")
+    edges = links_in_buckets(met.join(sets, "id"), SetMatcher, "similar-links")
+    return connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar-cc")

@@ -69,16 +69,19 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Col
     return F.coalesce(F.col(id_col).cast("long"), h), h
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str = "rows") -> DataFrame:
-    """Inner join on `key`, unique in `right`, where single keys may hold any part of `left`.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, count: str = "rows") -> DataFrame:
+    """Inner join on `keys`, unique in `right`, where a single key may hold any part of `left`.
 
     `right` has a column `count`, the rows of `left` with its key, which isn't returned;
     `rows` is their sum.  Keys with a thousandth of all rows or more are a thousand at
-    most, so they are broadcast; only rows of other keys are shuffled by it.
+    most, so they are broadcast; only rows of other keys are shuffled by them.
     """
     hot = F.col(count) * 1000 >= rows
-    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot).drop(count), key)
-    return left.join(F.broadcast(right.where(hot).drop(count)), key).unionByName(rest)
+    few = staged(right.where(hot).drop(count), "hot-keys")
+    if few.isEmpty():
+        return left.join(right.drop(count), keys)
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~hot).drop(count), keys)
+    return left.join(F.broadcast(few), keys).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
