@@ -4,17 +4,14 @@ Lines are sets of 8-character shingles (a shorter line is its own only shingle).
 lines meet by a 128-bit hash.  Different lines of 8 characters or more get a MinHash
 signature of BANDS x ROWS values; lines that agree on all rows of a band are candidates,
 verified by exact Jaccard similarity (0.8 or more), and joined by distributed connected
-components.  The first occurrence in order of (doc_id, line number) stays.
-
-A bucket never meets in memory: its rows stream by in sorted order.  Its head is its
-line with the most occurrences, which edited copies resemble most.  Candidates are first
-the pairs with a head.  What those leave unconnected is then paired with all lines of
-its buckets outside its own component, so no link between components is lost and a group
-of near copies costs about one pair a line.
-
-Before texts are compared, an upper bound of the similarity is: every line has a bitmap
-of its shingles' hashes, and a bit that only one of two lines has is a shingle that only
-it has.  Pairs that can't reach 0.8 go; the rest are compared shingle by shingle.
+components.  The first occurrence in order of (doc_id, hash of the text, line number)
+stays.
+
+Bands carry hashes alone.  Only lines that share a bucket with a different line have
+their texts looked up, once each, and are then compared bucket by bucket (`buckets`).
+Before shingles are compared, an upper bound of the similarity is: every line has a
+bitmap of its shingles' hashes, and a bit that only one of two lines has is a shingle
+that only it has.
 """
 
 from __future__ import annotations
@@ -25,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.tables import connected_components, id_text, staged
+from lantern.llm.buckets import Matcher, links_in_buckets, members
+from lantern.llm.tables import connected_components, join_hot, staged, unused
 from lantern.llm.token_count import slices
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -80,22 +78,41 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h32[at], np.cumsum(n) - n
 
 
-def bitmaps(lines: list[str]) -> list[bytes]:
-    """BITS bits of each line: which values the hashes of its shingles take."""
-    out: list[bytes] = []
-    at = 0
-    while at < len(lines):
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(lines[end]) < 200_000):
-            size += len(lines[end])
-            end += 1
-        h, cuts = shingle_hashes(lines[at:end])
-        bits = np.zeros((end - at, BITS), np.uint8)
-        bits[np.repeat(np.arange(end - at), np.diff(np.r_[cuts, len(h)])), h % BITS] = 1
-        raw = np.packbits(bits, axis=1).tobytes()
-        out += [raw[i : i + BITS // 8] for i in range(0, len(raw), BITS // 8)]
-        at = end
-    return out
+def bitmaps(lines: list[str]) -> np.ndarray:
+    """(lines, BITS / 64): which values the hashes of a line's shingles take."""
+    h, cuts = shingle_hashes(lines)
+    bits = np.zeros((len(lines), BITS), np.uint8)
+    bits[np.repeat(np.arange(len(lines)), np.diff(np.r_[cuts, len(h)])), h % BITS] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+class LineMatcher(Matcher):
+    """Jaccard similarity of SIMILARITY or more between lines of SHINGLE characters or more."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.sets = lines, {}
+        if len(lines) > 4:
+            self.bits = np.concatenate([bitmaps(lines[at : at + 256]) for at in range(0, len(lines), 256)])
+            self.sizes = np.array([len(self.of(i)) for i in range(len(lines))], np.int64)
+            if len(lines) > 512:
+                self.sets = {}  # made again where they are needed
+
+    def of(self, i: int) -> set[str]:
+        if i not in self.sets:
+            if len(self.sets) > 512:
+                self.sets = {}
+            self.sets[i] = shingles(self.lines[i])
+        return self.sets[i]
+
+    def may(self, x: int, others: np.ndarray) -> np.ndarray:
+        if len(self.lines) <= 4:
+            return np.ones(len(others), bool)
+        n, m, a, b = self.sizes[x], self.sizes[others], self.bits[x], self.bits[others]
+        most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        return most >= SIMILARITY * (n + m - most) - 1e-6
+
+    def sure(self, x: int, y: int) -> bool:
+        return jaccard(self.of(x), self.of(y)) >= SIMILARITY
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -116,32 +133,36 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def _line_batches(batches):
     for whole in batches:
         for b in slices(whole, 1024):
-            ids, nos, his, los = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for no, x in lines_of(t):
+            ids, hs, nos, totals, his, los = [], [], [], [], [], []
+            for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                own = lines_of(t)
+                for no, x in own:
                     hi, lo = line_key(x)
-                    ids.append(i)
                     nos.append(no)
                     his.append(hi)
                     los.append(lo)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], names=["doc_id", "line_no", "hi", "lo"])
+                ids += [i] * len(own)
+                hs += [h] * len(own)
+                totals += [len(own)] * len(own)
+            cols = zip((ids, hs, nos, totals, his, los), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["doc_id", "h", "line_no", "total", "hi", "lo"])
 
 
 def _band_batches(batches):
-    sent: set[int] = set()
+    sent: set[tuple[int, int]] = set()
     for whole in batches:
         for b in slices(whole, 256):
             fresh = {}
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 for x in t.split("\n"):
                     if len(x) >= SHINGLE and not x.isspace():
-                        lo = line_key(x)[1]
-                        if lo not in sent:
-                            fresh[lo] = x
-                            sent.add(lo)
+                        key = line_key(x)
+                        if key not in sent:
+                            fresh[key] = x
+                            sent.add(key)
             if len(sent) > REMEMBERED:
                 sent = set()
-            los, lines = list(fresh), list(fresh.values())
+            ids, lines = np.array(list(fresh), np.int64).reshape(-1, 2), list(fresh.values())
             at = 0
             while at < len(lines):  # about 200,000 characters at a time stay in the cache
                 end, size = at, 0
@@ -149,146 +170,87 @@ def _band_batches(batches):
                     size += len(lines[end])
                     end += 1
                 keys = band_keys(lines[at:end]).reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(los[at:end], np.int64), BANDS))], names=["key", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(ids[at:end, k], BANDS)) for k in (0, 1))], names=["key", "hi", "lo"])
                 at = end
 
 
-def _bucket_batches(batches):
-    """Of (key, lo) in order: members of buckets with two lines or more, with the bucket's head."""
-    key = head = last = None
-    for b in batches:
-        ks = b.column(0).to_numpy(zero_copy_only=False)
-        ls = b.column(1).to_numpy(zero_copy_only=False)
-        if not len(ks):
-            continue
-        new_key = np.r_[key is None or ks[0] != key, ks[1:] != ks[:-1]]
-        new = new_key | np.r_[last is None or ls[0] != last, ls[1:] != ls[:-1]]
-        heads_at = np.flatnonzero(new_key)
-        which = np.cumsum(new_key) - 1
-        heads = ls[heads_at[np.maximum(which, 0)]] if len(heads_at) else np.full(len(ls), head, np.int64)
-        if head is not None:
-            heads = np.where(which < 0, head, heads)
-        member = new & ~new_key
-        key, last, head = ks[-1], ls[-1], heads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ks[member]), pa.array(ls[member]), pa.array(heads[member])], names=["key", "lo", "head"])
-
-
 def _pick_batches(batches):
+    """Of (text, line numbers): hi, lo and the line of each."""
     for b in batches:
-        his, los, lines, sizes = [], [], [], []
+        his, los, lines = [], [], []
         for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             every = t.split("\n")
             for no in set(want):
-                x = every[no] if no < len(every) else ""
-                if len(x) < SHINGLE:  # another row of this doc_id has the line
-                    continue
-                hi, lo = line_key(x)
+                hi, lo = line_key(every[no])
                 his.append(hi)
                 los.append(lo)
-                lines.append(x)
-                sizes.append(len(shingles(x)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lines, pa.string()), pa.array(sizes, pa.int32()), pa.array(bitmaps(lines), pa.binary())], names=["hi", "lo", "line", "n", "bits"]
-        )
+                lines.append(every[no])
+        yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lines, pa.string())], names=["hi", "lo", "line"])
 
 
-def _may_batches(batches):
-    """Of (a, b, n, m, bits, other): the pairs that may be similar enough."""
-    for b in batches:
-        k = b.num_rows
-        n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(k, BITS // 64) for i in (4, 5))
-        most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-        ok = np.flatnonzero(most >= SIMILARITY * (n + m - most) - 1e-6)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok))], names=["a", "b"])
-
-
-def _verify_batches(batches):
-    seen: dict[int, set[str]] = {}
-    for b in batches:
-        a, c = [], []
-        for x, y, p, q in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if x not in seen:
-                seen = {x: shingles(p)} if len(seen) > 64 else seen | {x: shingles(p)}
-            if jaccard(seen[x], shingles(q)) >= SIMILARITY:
-                a.append(x)
-                c.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["src", "dst"])
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text) and text; a null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    def beside(columns: list[str], left: DataFrame) -> DataFrame:
-        for own, other in (("b", columns[1::2]), ("a", columns[0::2])):
-            left = left.join(texts.select(F.col("lo").alias(own), *[F.col(c).alias(o) for c, o in zip(("n", "bits") if len(other) == 2 else ("line",), other)]), own)
-        return left.select("a", "b", *columns)
+def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all lines that aren't blank: doc_id, h, line_no, total, hi, lo; lines that occur twice or are similar to others: hi, lo, rows, first).
 
-    may = staged(beside(["n", "m", "bits", "other"], pairs).mapInArrow(_may_batches, "a long, b long"), f"{name}-may")
-    return staged(beside(["p", "q"], may).mapInArrow(_verify_batches, "src long, dst long"), name)
+    `total` is the number of the row's lines that aren't blank, `rows` the occurrences
+    of the line, `first` (doc_id, h, line_no) the first occurrence in its component.
+    """
+    base = keyed_texts(docs)
+    lines = staged(base.mapInArrow(_line_batches, "doc_id long, h long, line_no int, total int, hi long, lo long"), "line-all")
+    unique = staged(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("pos"), F.count(F.lit(1)).alias("rows")), "line-unique")
+    bands = base.mapInArrow(_band_batches, "key long, hi long, lo long")
+    met = staged(bands.repartition("key").sortWithinPartitions("key", "hi", "lo").mapInArrow(lambda b: members(b, ["key", "hi", "lo"]), "key long, hi long, lo long"), "line-buckets")
+    asked = unique.join(met.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi").groupBy("pos.doc_id", "pos.h").agg(F.collect_list("pos.line_no").alias("want"))
+    wanted = asked.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "want")
+    rows = base.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("text", "want")
+    found = rows.mapInArrow(_pick_batches, "hi long, lo long, line string").dropDuplicates(["hi", "lo"])
+    # Numbers for lines, fixed by being written: links and components need one column.
+    texts = staged(found.withColumn("id", F.monotonically_increasing_id()), "line-texts", "lz4")
+    edges = links_in_buckets(met.join(texts, ["hi", "lo"]).select("key", "id", F.col("line").alias("payload")), LineMatcher, "line-links")
+    parts = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-cc")
+    named = texts.select("id", "hi", "lo").join(parts.withColumnRenamed("node", "id"), "id").join(unique, ["hi", "lo"])
+    named = staged(named.select("hi", "lo", "component", "pos", "rows"), "line-named")
+    least = named.groupBy("component").agg(F.min("pos").alias("first"))
+    grouped = named.join(least, "component").select("hi", "lo", "rows", "first")
+    alone = unique.where("rows > 1").join(named.select("hi", "lo"), ["hi", "lo"], "left_anti").select("hi", "lo", "rows", F.col("pos").alias("first"))
+    return lines, staged(grouped.union(alone), "line-first")
 
 
-def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all lines that aren't blank: doc_id, line_no, hi, lo; first occurrence of each different line's component: hi, lo, first)."""
-    base = id_text(docs)
-    lines = staged(base.mapInArrow(_line_batches, "doc_id long, line_no int, hi long, lo long"), "line-all")
-    unique = staged(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("times")), "line-unique")
-    bands = base.mapInArrow(_band_batches, "key long, lo long")
-    met = staged(bands.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(_bucket_batches, "key long, lo long, head long"), "line-buckets")
-    met = met.select("key", "lo").union(met.select("key", "head").distinct()).join(unique.groupBy("lo").agg(F.sum("times").alias("times")), "lo")
-    heads = met.groupBy("key").agg(F.max_by("lo", F.struct("times", "lo")).alias("head"))
-    members = staged(met.join(heads, "key").select("key", "lo", "head"), "line-members")
-    asked = members.select("lo").distinct()
-    where = unique.join(asked, "lo").groupBy(F.col("pos.doc_id").alias("id")).agg(F.collect_list("pos.line_no").alias("want"))
-    found = base.join(where.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want").mapInArrow(_pick_batches, "hi long, lo long, line string, n int, bits binary")
-    texts = staged(found.join(asked, "lo", "left_semi").dropDuplicates(["hi", "lo"]), "line-texts", "lz4")
-    stars = members.where("lo <> head").select(F.col("head").alias("a"), F.col("lo").alias("b")).distinct()
-    edges = _verified(stars, texts, "line-stars")
-    parts = connected_components(edges, "line-cc")
-    # Buckets that the heads left in more than one piece.
-    label = parts.select(F.col("node").alias("lo"), "component")
-    m = members.join(label, "lo", "left").withColumn("part", F.coalesce("component", "lo")).select("key", "lo", "head", "part")
-    m = staged(m, "line-parts")
-    heads = m.where("lo = head").select("key", F.col("part").alias("head_part"))
-    stray = m.join(heads, "key").where("part <> head_part").select("key", F.col("lo").alias("a"), F.col("part").alias("pa"))
-    rest = staged(stray.join(m.where("lo <> head").select("key", F.col("lo").alias("b"), F.col("part").alias("pb")), "key").where("pa <> pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest")
-    if not rest.isEmpty():
-        more = _verified(rest, texts, "line-more")
-        if not more.isEmpty():
-            # Components as nodes: what is connected already stays so.
-            named = label.withColumnRenamed("component", "part")
-            joined = more.join(named.withColumnRenamed("lo", "src"), "src", "left").select(F.coalesce("part", "src").alias("src"), "dst")
-            joined = joined.join(named.withColumnRenamed("lo", "dst"), "dst", "left").select("src", F.coalesce("part", "dst").alias("dst"))
-            over = connected_components(joined, "line-cc").select(F.col("node").alias("old"), F.col("component").alias("new"))
-            moved = parts.join(over, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-            parts = staged(moved.union(over.join(parts, F.col("old") == F.col("node"), "left_anti").select("old", "new")), "line-cc")
-    named = unique.join(parts.withColumnRenamed("node", "lo"), "lo")
-    least = named.groupBy("component").agg(F.min("pos").alias("first"))
-    grouped = named.join(least, "component").select("hi", "lo", "first")
-    first = unique.join(grouped, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("first", "pos").alias("first"))
-    return lines, staged(first, "line-first")
+def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h and n, the lines that aren't blank, of rows that have any; doc_id, h and gone, the numbers of the lines that go, of rows that lose some)."""
+    lines, first = line_groups(docs)
+    size = first.agg(F.sum("rows")).first()[0] or 0
+    here = F.struct("doc_id", "h", "line_no")
+    marked = join_hot(lines.select("doc_id", "h", "line_no", "hi", "lo"), first, ["hi", "lo"], size).where(~here.eqNullSafe(F.col("first")))
+    gone = marked.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    return lines.groupBy("doc_id", "h").agg(F.max("total").cast("long").alias("n")), staged(gone, "line-gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: n_lines and n_kept (lines that aren't blank), dropped (numbers of the lines that go, comma-joined).
+    """One row per row of `docs`: doc_id, n_lines and n_kept (lines that aren't blank), dropped (numbers of the lines that go, comma-joined).
 
     Blank lines are never duplicates and always stay.  Null and empty texts have no
-    lines; rows that repeat a doc_id count once; null doc_ids are one document, first
-    in order.
+    lines; rows are told apart by doc_id and text, so rows that repeat both are one
+    occurrence and come out alike; null doc_ids come first in order.
     """
-    lines, first = line_groups(docs)
-    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
-    marked = lines.join(first, ["hi", "lo"]).select("doc_id", "line_no", stays.alias("stays"))
-    per = marked.groupBy("doc_id").agg(F.collect_set("line_no").alias("all"), F.collect_set(F.when(~F.col("stays"), F.col("line_no"))).alias("gone"))
-    per = per.select(F.col("doc_id").alias("id"), F.size("all").cast("long").alias("n"), "gone")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    out = ids.join(per, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    n, gone = dropped_lines(docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    per = staged(n.join(gone, (n["doc_id"].eqNullSafe(gone["doc_id"])) & (n["h"] == gone["h"]), "left").select(n["doc_id"].alias("id"), n["h"].alias("g"), "n", "gone"), "line-counts")
+    out = ids.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     n = F.coalesce("n", F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_lines"), (n - F.size(gone)).alias("n_kept"), F.array_join(F.array_sort(gone), ",").alias("dropped"))
+    return out.select("doc_id", n.alias("n_lines"), (n - F.size(gone)).alias("n_kept"), F.array_join(gone, ",").alias("dropped"))
 
 
 def apply_dedup(docs: DataFrame) -> DataFrame:
     """`docs` without the lines that go; other columns as they are."""
-    gone = staged(dedup_lines(docs).where("dropped <> ''").select(F.col("doc_id").alias("__id"), F.split("dropped", ",").cast("array<int>").alias("__gone")), "line-gone")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    i, g, lost = unused(docs, "id", "g", "gone")
+    gone = dropped_lines(docs)[1].select(F.col("doc_id").alias(i), F.col("h").alias(g), F.col("gone").alias(lost))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(g))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, at: ~F.array_contains(lost, at)), "\n")
+    return docs.join(gone.hint("shuffle_hash"), same, "left").withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

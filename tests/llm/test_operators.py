@@ -3,6 +3,7 @@ import random
 import re
 import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lantern.llm import decontaminate, line_dedup, matroska, mixing, secrets, simhash, token_count, token_ids, toxicity, urls
+from lantern.llm import buckets, decontaminate, line_dedup, matroska, mixing, secrets, simhash, token_count, token_ids, toxicity, urls
 from lantern.llm.tables import connected_components
 
 HARD_ROWS = 11
@@ -36,6 +37,9 @@ def test_simhash(spark, hard, empty):
     assert comp[0] == comp[1] == comp[2] == 0 and comp[3] == comp[4] == 3
     kept = [r["doc_id"] for r in simhash.near_dedup(hard).collect()]
     assert sorted(k for k in kept if k is not None) == [0, 3, 5, 6, 7, 8] and kept.count(None) == 1
+    two = spark.createDataFrame([(3, "alpha beta gamma delta"), (3, "completely other words here"), (None, "alpha beta gamma delta"), (None, "a third text with words"), (9, "a third text with words"), (9, "a third text with words")], "doc_id long, text string").withColumns({"k": F.lit(1), "id": F.lit(2), "number": F.lit(3)})
+    assert sorted(tuple(r) for r in simhash.near_dedup(two).collect()) == [(3, "alpha beta gamma delta", 1, 2, 3), (3, "completely other words here", 1, 2, 3), (9, "a third text with words", 1, 2, 3)]
+    assert all(any({p for p in range(8) if m >> 8 * p & 255} <= set(four) for m in simhash._masks()) for four in combinations(range(8), 4)) and len(simhash._masks()) == 20
     assert simhash.simhash_groups(empty).count() == 0
 
 
@@ -94,6 +98,35 @@ def test_simhash_lists(monkeypatch):
         assert long == {k: int((key == k).sum()) for k in range(5) if (key == k).sum() > 20}
 
 
+@pytest.mark.parametrize("block", [10_000, 20])
+def test_links_in_buckets(spark, monkeypatch, block):
+    """Long lists in pairs of blocks, and short ones, join what all pairs join, and give no more edges than a forest a group has."""
+    monkeypatch.setattr(buckets, "BLOCK", block)
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    fps = sorted({base[k] ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for k in range(6) for _ in range(40)})
+    rows = spark.createDataFrame([(f % 2, f, f) for f in fps], "key long, id long, payload long")
+    # The executors' workers read the module anew, so the length travels with the matcher's partition function.
+    from lantern.llm.buckets import _long_links, links_in_buckets
+
+    if block == 20:
+        long = spark.createDataFrame([(0, 120), (1, 120)], "key long, n long")
+        got = [(r["a"], r["b"]) for r in _long_links(rows, long, simhash.PrintMatcher).collect()]
+    else:
+        got = [(r["a"], r["b"]) for r in links_in_buckets(rows, simhash.PrintMatcher, "test").collect()]
+        assert len(got) < len(fps)
+    want = [(a, b) for a, b in combinations(fps, 2) if a % 2 == b % 2 and (a ^ b).bit_count() <= 4]
+
+    def parts(edges):
+        least = {f: f for f in fps}
+        for _ in fps:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert set(got) <= {p for a, b in want for p in ((a, b), (b, a))} and parts(got) == parts(want)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5)]
@@ -133,7 +166,10 @@ def test_line_dedup(spark, hard, empty):
     by = {r["doc_id"]: r for r in line_dedup.dedup_lines(hard).collect()}
     assert by[8]["dropped"] == "1" and by[4]["n_kept"] == 0 and by[0]["n_lines"] == 0 and len(by) == 10
     assert line_dedup.dedup_lines(empty).count() == 0
-    assert len(line_dedup.apply_dedup(hard).columns) == len(hard.columns)
+    assert line_dedup.apply_dedup(hard).columns == hard.columns
+    two = spark.createDataFrame([(1, "common line of some length"), (2, "common line of some length"), (2, "only in this row\ncommon line of some length\n\nend"), (None, "only in this row\nlast")], "doc_id long, text string").withColumns({"id": F.lit(1), "gone": F.lit(2), "h": F.lit(3)})
+    left = {(r["doc_id"], r["text"], r["id"], r["gone"]) for r in line_dedup.apply_dedup(two).collect()}
+    assert left == {(1, "common line of some length", 1, 2), (2, "", 1, 2), (2, "\nend", 1, 2), (None, "only in this row\nlast", 1, 2)}
 
 
 def brute_spans(t):
