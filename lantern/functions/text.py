@@ -41,7 +41,7 @@ def file_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """The name without its last suffix; a leading dot starts no suffix."""
-    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]*$", "$1")
+    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]+$", "$1")
 
 
 def directories(path: Column) -> Column:
