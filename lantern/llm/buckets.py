@@ -21,9 +21,27 @@ from lantern.llm.tables import LONG_PAIR, beside, staged
 BLOCK = 4096
 
 
+class Memo:
+    """What a group of buckets has learned: which ids are joined, which pairs aren't linked, and sets of what was seen, up to a bound."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.apart: set[tuple[int, int]] = set()
+        self.sets: dict[int, set] = {}
+
+    def find(self, x: int) -> int:
+        while (u := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(u, u)
+            x = u
+        return x
+
+
 class Matcher:
     """Compares the payloads of one bucket."""
 
+    def __init__(self, ids: list[int], loads: list, memo: Memo):
+        self.ids, self.loads, self.memo = ids, loads, memo
+
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
         """False for those of `others` that can't be linked to x."""
         raise NotImplementedError
@@ -32,6 +50,21 @@ class Matcher:
         """Are two that may be linked?"""
         return True
 
+    def joined(self, x: int, y: int) -> bool:
+        """Are two linked, or joined by links found in this group before?"""
+        m, a, b = self.memo, self.ids[x], self.ids[y]
+        if m.find(a) == m.find(b):
+            return True
+        pair = (a, b) if a < b else (b, a)
+        if pair in m.apart:
+            return False
+        if self.sure(x, y):
+            m.up[m.find(a)] = m.find(b)
+            return True
+        if len(m.apart) < 100_000:
+            m.apart.add(pair)
+        return False
+
 
 def forest(n: int, match: Matcher) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among 0 .. n-1."""
@@ -43,7 +76,7 @@ def forest(n: int, match: Matcher) -> list[tuple[int, int]]:
             ok = match.may(x, left)
             for i in np.flatnonzero(ok):
                 y = int(left[i])
-                ok[i] = match.sure(x, y)
+                ok[i] = match.joined(x, y)
                 if ok[i]:
                     out.append((x, y))
                     front.append(y)
@@ -59,33 +92,35 @@ def forest_between(n: int, m: int, match: Matcher) -> list[tuple[int, int]]:
         if not len(others):
             continue
         for y in others[match.may(x, others)]:
-            if label[y] != label[x] and match.sure(x, int(y)):
+            if label[y] != label[x] and match.joined(x, int(y)):
                 out.append((x, int(y)))
                 label[label == label[y]] = label[x]
     return out
 
 
 def members(batches, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by all columns, the first being the key: each once, without keys that have only one row."""
-    held, sent = None, False
+    """Of rows (key, id) in order: each once, without keys that have only one id; with `head`, the first id of the key."""
+    held, sent, first = None, False, None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
-        if not len(cols[0]):
+        key, one = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(key):
             continue
         if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        fresh = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols:
-            fresh |= c[1:] != c[:-1]
-        cols = [c[np.concatenate([[True], fresh])] for c in cols]
-        next_too = cols[0][1:] == cols[0][:-1]
+            key, one = np.concatenate([held[0], key]), np.concatenate([held[1], one])
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1])])
+        key, one = key[fresh], one[fresh]
+        next_too = key[1:] == key[:-1]
         member = np.concatenate([[False], next_too]) | np.concatenate([next_too, [False]])
+        starts = np.concatenate([[True], ~next_too])
+        head = one[np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))]
+        if held is not None:
+            head[: np.argmin(np.concatenate([next_too, [False]])) + 1] = first
         now = member.copy()
         if sent:
             now[0] = False
         sent = bool(member[-1]) or (sent and len(member) == 1)
-        held = [c[-1:] for c in cols]
-        yield pa.RecordBatch.from_arrays([pa.array(c[now]) for c in cols], names=columns)
+        held, first = (key[-1:], one[-1:]), head[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[now]) for c in (key, one, head)], names=[*columns, "head"])
 
 
 def _pairs(a: list[int], b: list[int], long: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -94,28 +129,32 @@ def _pairs(a: list[int], b: list[int], long: list[tuple[int, int]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "key", "n"])
 
 
-def _per_bucket(batches, make: Callable[[list], Matcher]) -> Iterator[pa.RecordBatch]:
-    key, ids, loads, n = None, [], [], 0
+def _per_bucket(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, key, id, payload), grouped by (head, key); a memo lasts as long as the head."""
+    key, ids, loads, n, memo = None, [], [], 0, Memo()
 
     def done(a, b, long):
         if n > BLOCK:
-            long.append((key, n))
+            long.append((key[1], n))
         elif n > 1:
-            for x, y in forest(n, make(loads)):
+            for x, y in forest(n, make(ids, loads, memo)):
                 a.append(ids[x])
                 b.append(ids[y])
 
     for batch in batches:
         a, b, long = [], [], []
-        ks = batch.column(0).to_numpy(zero_copy_only=False)
+        hs, ks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(ks):
             continue
-        mine, what = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        cuts = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]])).tolist() + [len(ks)]
+        mine, what = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], (ks[1:] != ks[:-1]) | (hs[1:] != hs[:-1])])).tolist() + [len(ks)]
         for s, e in zip(cuts, cuts[1:]):
-            if ks[s] != key:
+            here = (int(hs[s]), int(ks[s]))
+            if here != key:
                 done(a, b, long)
-                key, ids, loads, n = int(ks[s]), [], [], 0
+                if key is None or here[0] != key[0]:
+                    memo = Memo()
+                key, ids, loads, n = here, [], [], 0
             n += e - s
             if n <= BLOCK:
                 ids += mine[s:e]
@@ -128,12 +167,13 @@ def _per_bucket(batches, make: Callable[[list], Matcher]) -> Iterator[pa.RecordB
     yield _pairs(a, b, long)
 
 
-def _per_block_pair(batches, make: Callable[[list], Matcher]) -> Iterator[pa.RecordBatch]:
+def _per_block_pair(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, side, id, payload), grouped by (key, i, j), side 0 before side 1."""
     group, ids, loads, first = None, [], [], 0
 
     def links():
-        found = forest(len(ids), make(loads)) if group[1] == group[2] else forest_between(first, len(ids) - first, make(loads))
+        match = make(ids, loads, Memo())
+        found = forest(len(ids), match) if group[1] == group[2] else forest_between(first, len(ids) - first, match)
         return _pairs([ids[x] for x, _ in found], [ids[y] for _, y in found], [])
 
     for batch in batches:
@@ -149,9 +189,14 @@ def _per_block_pair(batches, make: Callable[[list], Matcher]) -> Iterator[pa.Rec
         yield links()
 
 
-def links_in_buckets(rows: DataFrame, make: Callable[[list], Matcher], name: str) -> DataFrame:
-    """Links (a, b) among rows (key, id, payload) that share a key; each row once a key, and staged or cheap to read again."""
-    found = staged(rows.select("key", "id", "payload").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: _per_bucket(b, make), LONG_PAIR), name)
+def links_in_buckets(rows: DataFrame, make: Callable[..., Matcher], name: str) -> DataFrame:
+    """Links (a, b) among rows (head, key, id, payload) that share a key; each row once a key, and staged or cheap to read again.
+
+    Keys of one head, which all have one `head` and are few, are looked at by one task in
+    a row: near copies share most of their keys, and then are compared once, not for
+    each key.
+    """
+    found = staged(rows.select("head", "key", "id", "payload").repartition("head").sortWithinPartitions("head", "key", "id").mapInArrow(lambda b: _per_bucket(b, make), LONG_PAIR), name)
     edges = found.where("a is not null").select("a", "b")
     long = found.where("key is not null").groupBy("key").agg(F.max("n").alias("n"))
     if long.isEmpty():
@@ -159,7 +204,7 @@ def links_in_buckets(rows: DataFrame, make: Callable[[list], Matcher], name: str
     return edges.union(staged(_long_links(rows, long, make), f"{name}-blocks"))
 
 
-def _long_links(rows: DataFrame, long: DataFrame, make: Callable[[list], Matcher]) -> DataFrame:
+def _long_links(rows: DataFrame, long: DataFrame, make: Callable[..., Matcher]) -> DataFrame:
     mine = rows.select("key", "id", "payload").join(beside(long), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK * 2).cast("int"))
     mine = mine.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = mine.select("key", "id", "payload", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

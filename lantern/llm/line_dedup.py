@@ -32,6 +32,7 @@ BANDS, ROWS = 10, 4
 #: Lines whose bands a task remembers having sent, so that a common line isn't sent again and again.
 REMEMBERED = 300_000
 BITS = 1024
+REMEMBERED_SETS = 512
 _draw = np.random.default_rng(20_240_607)
 _XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -89,23 +90,22 @@ def bitmaps(lines: list[str]) -> np.ndarray:
 class LineMatcher(Matcher):
     """Jaccard similarity of SIMILARITY or more between lines of SHINGLE characters or more."""
 
-    def __init__(self, lines: list[str]):
-        self.lines, self.sets = lines, {}
+    def __init__(self, ids, lines, memo):
+        super().__init__(ids, lines, memo)
         if len(lines) > 4:
             self.bits = np.concatenate([bitmaps(lines[at : at + 256]) for at in range(0, len(lines), 256)])
             self.sizes = np.array([len(self.of(i)) for i in range(len(lines))], np.int64)
-            if len(lines) > 512:
-                self.sets = {}  # made again where they are needed
 
     def of(self, i: int) -> set[str]:
-        if i not in self.sets:
-            if len(self.sets) > 512:
-                self.sets = {}
-            self.sets[i] = shingles(self.lines[i])
-        return self.sets[i]
+        sets, one = self.memo.sets, self.ids[i]
+        if one not in sets:
+            if len(sets) > REMEMBERED_SETS:
+                sets.clear()
+            sets[one] = shingles(self.loads[i])
+        return sets[one]
 
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
-        if len(self.lines) <= 4:
+        if len(self.loads) <= 4:
             return np.ones(len(others), bool)
         n, m, a, b = self.sizes[x], self.sizes[others], self.bits[x], self.bits[others]
         most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
@@ -149,20 +149,20 @@ def _line_batches(batches):
 
 
 def _band_batches(batches):
-    sent: set[tuple[int, int]] = set()
+    sent: set[int] = set()
     for whole in batches:
         for b in slices(whole, 256):
             fresh = {}
             for t in b.column(2).to_pylist():
                 for x in t.split("\n"):
                     if len(x) >= SHINGLE and not x.isspace():
-                        key = line_key(x)
-                        if key not in sent:
-                            fresh[key] = x
-                            sent.add(key)
+                        hi, lo = line_key(x)
+                        if hi ^ lo not in sent:
+                            fresh[x] = lo
+                            sent.add(hi ^ lo)
             if len(sent) > REMEMBERED:
                 sent = set()
-            ids, lines = np.array(list(fresh), np.int64).reshape(-1, 2), list(fresh.values())
+            los, lines = np.array(list(fresh.values()), np.int64), list(fresh)
             at = 0
             while at < len(lines):  # about 200,000 characters at a time stay in the cache
                 end, size = at, 0
@@ -170,7 +170,7 @@ def _band_batches(batches):
                     size += len(lines[end])
                     end += 1
                 keys = band_keys(lines[at:end]).reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(ids[at:end, k], BANDS)) for k in (0, 1))], names=["key", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(los[at:end], BANDS))], names=["key", "lo"])
                 at = end
 
 
@@ -203,15 +203,16 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = keyed_texts(docs)
     lines = staged(base.mapInArrow(_line_batches, "doc_id long, h long, line_no int, total int, hi long, lo long"), "line-all")
     unique = staged(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("pos"), F.count(F.lit(1)).alias("rows")), "line-unique")
-    bands = base.mapInArrow(_band_batches, "key long, hi long, lo long")
-    met = staged(bands.repartition("key").sortWithinPartitions("key", "hi", "lo").mapInArrow(lambda b: members(b, ["key", "hi", "lo"]), "key long, hi long, lo long"), "line-buckets")
-    asked = unique.join(met.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi").groupBy("pos.doc_id", "pos.h").agg(F.collect_list("pos.line_no").alias("want"))
+    # Half of a line's hash will do to find buckets: lines that share it are both looked up, and told apart then.
+    bands = base.mapInArrow(_band_batches, "key long, lo long")
+    met = staged(bands.repartition("key").sortWithinPartitions("key", "lo").mapInArrow(lambda b: members(b, ["key", "lo"]), "key long, lo long, head long"), "line-buckets")
+    asked = unique.join(met.select("lo").distinct(), "lo", "left_semi").groupBy("pos.doc_id", "pos.h").agg(F.collect_list("pos.line_no").alias("want"))
     wanted = asked.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "want")
     rows = base.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("text", "want")
     found = rows.mapInArrow(_pick_batches, "hi long, lo long, line string").dropDuplicates(["hi", "lo"])
     # Numbers for lines, fixed by being written: links and components need one column.
     texts = staged(found.withColumn("id", F.monotonically_increasing_id()), "line-texts", "lz4")
-    edges = links_in_buckets(met.join(texts, ["hi", "lo"]).select("key", "id", F.col("line").alias("payload")), LineMatcher, "line-links")
+    edges = links_in_buckets(met.join(texts, "lo").select("head", "key", "id", F.col("line").alias("payload")), LineMatcher, "line-links")
     parts = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-cc")
     named = texts.select("id", "hi", "lo").join(parts.withColumnRenamed("node", "id"), "id").join(unique, ["hi", "lo"])
     named = staged(named.select("hi", "lo", "component", "pos", "rows"), "line-named")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.buckets import Matcher, _long_links, forest
+from lantern.llm.buckets import Matcher, Memo, _long_links, forest
 from lantern.llm.tables import LONG_PAIR, beside, connected_components, id_text, join_hot, row_key, staged, unused
 
 SHINGLE = 4
@@ -99,16 +99,20 @@ def linked(x: np.ndarray, y) -> np.ndarray:
 
 
 class PrintMatcher(Matcher):
-    def __init__(self, fps: list[int]):
+    def __init__(self, ids, fps, memo):
+        super().__init__(ids, fps, memo)
         self.fps = np.array(fps, np.int64).view(np.uint64)
 
+    def joined(self, x: int, y: int) -> bool:
+        return True  # `may` has verified it
+
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
         return linked(self.fps[others], self.fps[x])
 
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among distinct fingerprints."""
-    pairs = np.array(forest(len(fps), PrintMatcher(fps.view(np.int64))), np.int64).reshape(-1, 2)
+    pairs = np.array(forest(len(fps), PrintMatcher([], fps.view(np.int64), Memo())), np.int64).reshape(-1, 2)
     return fps[pairs[:, 0]], fps[pairs[:, 1]]
 
 

@@ -61,8 +61,8 @@ def _set_batches(batches):
 class SetMatcher(Matcher):
     """Jaccard similarity of SIMILARITY or more between sets given as sorted hashes."""
 
-    def __init__(self, sets: list[bytes]):
-        self.sets = sets
+    def __init__(self, ids, sets, memo):
+        super().__init__(ids, sets, memo)
         self.sizes = np.array([len(x) // 8 for x in sets], np.int64)
 
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ class SetMatcher(Matcher):
         return np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9
 
     def sure(self, x: int, y: int) -> bool:
-        a, b = np.frombuffer(self.sets[x], np.uint64), np.frombuffer(self.sets[y], np.uint64)
+        a, b = np.frombuffer(self.loads[x], np.uint64), np.frombuffer(self.loads[y], np.uint64)
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
@@ -82,7 +82,7 @@ def similar_groups(bands: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
     for a staged table of ids, those that share a bucket with another.
     """
     rows = bands.select(F.explode("keys").alias("key"), "id")
-    met = staged(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: members(b, ["key", "id"]), "key long, id long"), "similar-buckets")
+    met = staged(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: members(b, ["key", "id"]), "key long, id long, head long"), "similar-buckets")
     asked = staged(met.select("id").distinct(), "similar-asked")
     sets = staged(texts(asked).select("id", "text").mapInArrow(_set_batches, "id long, payload binary"), "similar-sets", "lz4")
     edges = links_in_buckets(met.join(sets, "id"), SetMatcher, "similar-links")

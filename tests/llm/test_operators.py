@@ -105,8 +105,7 @@ def test_links_in_buckets(spark, monkeypatch, block):
     rng = random.Random(9)
     base = [rng.getrandbits(63) for _ in range(6)]
     fps = sorted({base[k] ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for k in range(6) for _ in range(40)})
-    rows = spark.createDataFrame([(f % 2, f, f) for f in fps], "key long, id long, payload long")
-    # The executors' workers read the module anew, so the length travels with the matcher's partition function.
+    rows = spark.createDataFrame([(f % 2, f % 2, f, f) for f in fps], "head long, key long, id long, payload long")
     from lantern.llm.buckets import _long_links, links_in_buckets
 
     if block == 20:
@@ -127,6 +126,18 @@ def test_links_in_buckets(spark, monkeypatch, block):
     assert set(got) <= {p for a, b in want for p in ((a, b), (b, a))} and parts(got) == parts(want)
 
 
+def test_members_of_buckets():
+    """Across batches cut anywhere: every (key, id) once, keys with two ids or more, beside the least id."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 40), rng.randint(0, 6)) for _ in range(120))
+    want = sorted((k, i, min(ids)) for k, ids in {k: {i for q, i in rows if q == k} for k, _ in rows}.items() if len(ids) > 1 for i in ids)
+    for size in (1, 2, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + size]], pa.int64()) for c in (0, 1)], names=["key", "id"]) for at in range(0, len(rows), size)]
+        assert sorted(tuple(r.values()) for b in buckets.members(batches, ["key", "id"]) for r in b.to_pylist()) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5)]
