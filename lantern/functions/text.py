@@ -32,10 +32,12 @@ def tokenize(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores (ASCII): the tokens of the file score."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]+"), F.lit(0))
 
 
 def file_name(path: Column) -> Column:
+    """What follows the last slash."""
     return F.element_at(F.split(path, "/"), -1)
 
 

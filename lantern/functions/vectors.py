@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 
 def as_double(v: Column) -> Column:
+    """The vector in double precision, in which all products are summed."""
     return v.cast("array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
+    """Product of two vectors, summed in order; null if a value is missing on either side."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
+    """Euclidean length."""
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Cosine with 1e-10 added to both lengths, so zero vectors give zero."""
     return dot(a, b) / ((norm(a) + 1e-10) * (norm(b) + 1e-10))
 
 

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.functions.columns import unused
 from lantern.functions.vectors import as_double, cosine, dot
 
+#: Rows of queries that are broadcast at most; more are dealt in blocks.
+BLOCK = 2_000
+
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", only: DataFrame | None = None) -> DataFrame:
-    """(id, distance, score) of the k nearest by cosine distance; `only` (column id) restricts the candidates first."""
-    v = vectors.select(F.col(id_col).alias("id"), as_double(F.col(vec_col)).alias("v"))
+    """(id, distance, score) of the k nearest by cosine distance; `only` (column id) restricts the candidates first.
+
+    Vectors that are null, hold a null or have another length than the query aren't
+    compared; a zero vector scores zero; ties go to the lesser id.
+    """
+    v = vectors.select(F.col(id_col).alias("id"), as_double(F.col(vec_col)).alias("v")).where(F.size("v") == len(query))
     if only is not None:
         v = v.join(only.select("id"), "id", "left_semi")
     q = F.array(*[F.lit(float(x)) for x in query])
-    return v.select("id", cosine(F.col("v"), q).alias("score")).withColumn("distance", 1 - F.col("score")).orderBy("distance", "id").limit(k)
+    scored = v.select("id", cosine(F.col("v"), q).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    return scored.withColumn("distance", 1 - F.col("score")).orderBy("distance", "id").limit(k)
 
 
 def similarity(left: DataFrame, right: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Raw products of a set of queries with all rows: (left, right, similarity).  `left` is the query set and small."""
+    """Raw products of a stated set of queries with all rows: (left, right, similarity); null where a vector is null or lengths differ.
+
+    Queries go out in blocks of BLOCK rows, so that what is broadcast has a bound
+    however many there are.
+    """
     a = left.select(F.col(id_col).alias("left"), as_double(F.col(vec_col)).alias("a"))
     b = right.select(F.col(id_col).alias("right"), as_double(F.col(vec_col)).alias("b"))
-    return b.crossJoin(F.broadcast(a)).select("left", "right", dot(F.col("a"), F.col("b")).alias("similarity"))
+
+    def against(block: DataFrame) -> DataFrame:
+        product = F.when(F.size("a") == F.size("b"), dot(F.col("a"), F.col("b")))
+        return b.crossJoin(F.broadcast(block)).select("left", "right", product.alias("similarity"))
+
+    n = left.count()
+    if n <= BLOCK:
+        return against(a)
+    blocks = -(-n // BLOCK) * 2
+    part: Column = F.pmod(F.xxhash64("left"), F.lit(blocks))
+    out = against(a.where(part == 0))
+    for i in range(1, blocks):
+        out = out.unionByName(against(a.where(part == i)))
+    return out
+
+
+def ranked(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(rank, id, score, and other columns) of the k best by raw product, ties to the lesser id."""
+    from pyspark.sql import Window
+
+    (mark,) = unused(vectors, "product")
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = vectors.withColumn(mark, dot(as_double(F.col(vec_col)), q)).where((F.size(vec_col) == len(query)) & F.col(mark).isNotNull())
+    best = scored.orderBy(F.desc(mark), id_col).limit(k)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(mark), id_col)  # k rows
+    return best.withColumn("rank", F.row_number().over(order)).drop(vec_col).withColumnRenamed(mark, "score")

@@ -1,49 +1,113 @@
-"""BM25 as tables: postings, document and term statistics, impacts, ranked retrieval."""
+"""BM25 as tables: postings, document and term statistics, impacts, ranked retrieval.
+
+Two ways to the same scores.  `bm25_scores` reads texts once and keeps only the query's
+terms.  `postings` is the index: a row per document and term, split by a hash of the
+term, so that a query over it (`indexed_scores`) reads a few of its parts and no text.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.functions.text import tokenize, tokens_of
+from lantern.functions.text import IDENTIFIER, split_identifier, tokens_of
 
 K1, B = 1.5, 0.75
+#: Parts of the postings; a query reads as many as it has terms.
+BUCKETS = 64
+_PLAIN = r"^[A-Za-z][a-z]*$"
+
+
+def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term): a row for each token, identifiers with their parts.  Null texts have none."""
+    raw = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("raw"))
+    return raw.select("id", F.explode(F.when(F.col("raw").rlike(_PLAIN), F.array(F.lower("raw"))).otherwise(split_identifier(F.col("raw")))).alias("term"))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl); partial counts are combined before the shuffle."""
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks"))
-    return toks.select("id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf, dl); repeated ids count as one document.
+
+    Rows of a document lie together, so partial counts shrink it to its different terms
+    before anything moves.
+    """
+    tf = terms(docs, id_col, text_col).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dl = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
+    return tf.join(dl, "id").select("id", "term", "tf", "dl")
+
+
+def term_stats(p: DataFrame) -> DataFrame:
+    """(term, df, cf) of postings."""
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl) of every row, zero for texts without tokens."""
+    counted = terms(docs, id_col, text_col).groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+    return docs.select(F.col(id_col).alias("id")).join(counted, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
 
+def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: n documents and their mean length in tokens, null for none."""
+    tokens = terms(docs, id_col, text_col).agg(F.count(F.lit(1)).alias("t"))
+    return docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(tokens)).select("n", (F.col("t") / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))  # one row each
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: n documents and their mean length in tokens."""
-    return docs.select(F.size(tokenize(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+def _impact(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def _none(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
 
 
 def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score > 0).  One pass: only the query's terms are kept, so no posting of another term is shuffled."""
+    """(id, score > 0), read from the texts.
+
+    A document's tokens are counted where they are read: its length, and the query's
+    terms.  What is shuffled is one short row a document.
+    """
     want = Counter(tokens_of(query))
     if not want:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+        return _none(docs, id_col)
     names = sorted(want)
-
-    def equal(word: str):
-        return lambda t: t == F.lit(word)
-
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks"))
-    base = toks.select("id", F.size("toks").alias("dl"), *[F.size(F.filter("toks", equal(w))).alias(f"tf{i}") for i, w in enumerate(names)])
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(names))])
+    tf = [F.count(F.when(F.col("term") == w, 1)).alias(f"tf{i}") for i, w in enumerate(names)]
+    base = terms(docs, id_col, text_col).groupBy("id").agg(F.count(F.lit(1)).alias("dl"), *tf)
+    rows = docs.agg(F.count(F.lit(1)).alias("n"))  # texts without tokens count for the mean
+    stats = base.agg(F.sum("dl").alias("total"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(names))]).crossJoin(rows)
     hit = base.where(" OR ".join(f"tf{i} > 0" for i in range(len(names)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i, w in enumerate(names):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + want[w] * idf * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        score = score + want[w] * _impact(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("total") / F.col("n"), k1, b)
     return hit.select("id", score.alias("score")).where("score > 0")
 
 
+def indexed_scores(index: DataFrame, query: str, n: int, avgdl: float, only: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score > 0), read from stored postings (id, term, tf, dl, bucket).
+
+    Only the parts of the query's terms are read.  `only` (column id) restricts the
+    result, not the statistics.
+    """
+    want = Counter(tokens_of(query))
+    if not want or not n:
+        return _none(index, "id")
+    spark = index.sparkSession
+    asked = spark.createDataFrame(sorted(want.items()), "term string, mult int")
+    parts = [r[0] for r in asked.select(bucket_of(F.col("term"))).distinct().collect()]
+    mine = index.where(F.col("bucket").isin(*parts) & F.col("term").isin(*sorted(want)))
+    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term of the query
+    hit = mine.join(F.broadcast(df.join(asked, "term")), "term")
+    if only is not None:
+        hit = hit.join(only.select("id"), "id", "left_semi")
+    score = F.col("mult") * _impact(F.col("tf"), F.col("df"), F.lit(float(n)), F.col("dl"), F.lit(avgdl), k1, b)
+    return hit.groupBy("id").agg(F.sum(score).alias("score")).where("score > 0")
+
+
 def top(scores: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataFrame:
+    """The k best, ties to the lesser id."""
     return scores.orderBy(F.desc(score), tie).limit(k)

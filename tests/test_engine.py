@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lantern import catalog
 from lantern.functions import text as tx
-from lantern.operators import lexical, ranking, tables
+from lantern.operators import chunking, lexical, ranking
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -39,7 +39,7 @@ def test_line_chunks_like_a_loop(spark):
     texts = ["".join("x" * rng.randint(0, 30) + "\n" for _ in range(rng.randint(0, 20))) + "end" * rng.randint(0, 2) for _ in range(40)] + ["", "\n\n"]
     docs = spark.createDataFrame([(i, t, "p.py") for i, t in enumerate(texts)], "doc_id long, text string, path string")
     got = {}
-    for r in tables.line_chunks(docs, size=50).collect():
+    for r in chunking.line_chunks(docs, size=50).collect():
         got.setdefault(r["id"], []).append((r["start_line"], r["end_line"], r["content"]))
     for i, t in enumerate(texts):
         want, cur, at = [], "", 1
