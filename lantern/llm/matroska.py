@@ -175,7 +175,11 @@ def _number(b, at: int, end: int) -> int:
 
 
 def _real(b, at: int, end: int) -> float:
-    return {0: lambda: 0.0, 4: lambda: struct.unpack(">f", b[at:end])[0], 8: lambda: struct.unpack(">d", b[at:end])[0]}[end - at]()
+    if end == at:
+        return 0.0
+    if end - at not in (4, 8):
+        raise Broken(f"a float of {end - at} bytes")
+    return struct.unpack(">f" if end - at == 4 else ">d", b[at:end])[0]
 
 
 def _block(b, at: int, end: int, m: Media, time: int, key: bool | None) -> None:
@@ -333,26 +337,33 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PACKETS = "media_id long, cluster int, track long, timestamp_ns long, keyframe boolean, lacing int, byte_start long, byte_end long"
+PACKETS = "media_id long, cluster int, track long, timestamp_ns long, keyframe boolean, lacing int, byte_start long, byte_end long, error string"
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each packet of each file; a null or unreadable file has none."""
+    """One row for each packet of each file.
+
+    A file that is null, empty or can't be read to its end has one row instead, with its
+    id and what is wrong; a readable file without packets has none.  Repeated rows stay.
+    """
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    m = demux(blob) if blob else Media()
-                except Broken:
-                    continue
-                rows += [(i, c, t, at * m.scale, k, lacing, s, e) for c, t, at, k, lacing, s, e in m.packets]
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PACKETS.split(", ")])
-
-    return media.select(F.col(id_col).cast("long"), media_col).mapInArrow(run, PACKETS)
+        for whole in batches:
+            for b in slices(whole, 64):
+                rows: list[tuple] = []
+                for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    try:
+                        if not blob:
+                            raise Broken("no bytes")
+                        m = demux(blob)
+                        rows += [(i, c, t, at * m.scale, k, lacing, s, e, None) for c, t, at, k, lacing, s, e in m.packets]
+                    except (Broken, struct.error, IndexError) as e:
+                        rows.append((i, None, None, None, None, None, None, None, str(e) or type(e).__name__))
+                cols = list(zip(*rows)) or [()] * 9
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PACKETS.split(", ")])
+
+    return media.select(F.col(id_col).cast("long"), F.col(media_col).cast("binary")).mapInArrow(run, PACKETS)
 
 
 def media_features(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.tables import staged
+from lantern.llm.tables import join_hot, staged
 
 KINDS = ("assign", "access", "hex")
 #: Leftmost, non-overlapping.  A run that is too short for `access` or `hex` has no later start within it that is long enough, so their least lengths stand in the pattern; a failing `assign` uses up its text, so its value is measured afterwards.
@@ -89,7 +89,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: st
     texts = rows.join(one.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     new = staged(scan_blobs(texts.select("blob", "text")).dropDuplicates(["blob"]), "secret-ledger")
     known = new if seen is None else new.unionByName(seen.select(*new.columns).dropDuplicates(["blob"]))
-    return addressed.join(known, "blob").withColumnRenamed("path", path), new
+    counts = addressed.groupBy("blob").agg(F.count(F.lit(1)).alias("rows"))
+    of_blob = staged(known.join(counts, "blob"), "secret-known")
+    found = join_hot(addressed, of_blob, ["blob"], addressed.count())  # one text may be a third of all rows
+    return found.withColumnRenamed("path", path), new
 
 
 def _sql_spans(kind: str) -> str:

@@ -19,6 +19,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_TRACKING = r"^(ref|utm_[a-z]+)="
 _TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -76,6 +77,19 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return some.select(u.alias("src_url"), F.explode(links).alias("link")).select("src_url", resolved(F.col("src_url"), F.col("link")).alias("dst_url")).where("dst_url is not null")
 
 
+def canonical(url: Column) -> Column:
+    """What a URL redirects to by convention: its host without `www.` or `m.`, its query without tracking parameters; null without a host."""
+    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
+    query = F.filter(F.split(F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1), "&"), lambda q: (q != "") & ~q.rlike(_TRACKING))
+    return F.when(host != "", F.concat(F.lit("https://"), host, path_of(url), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise("")))
+
+
+def conventional_aliases(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(src_url, dst_url): redirects that conventions state, for URLs that aren't their own canonical form."""
+    u = F.col(url)
+    return pages.select(u.alias("src_url"), canonical(u).alias("dst_url")).where(node_of(F.col("src_url")) != node_of(F.col("dst_url")))
+
+
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
@@ -98,7 +112,9 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, pag
     judged = judged.union(base.select("node", F.col("own.verdict"))).where("v is not null and node is not null").distinct()
     said = judged.join(parts, "node").groupBy("component").agg(F.max((F.col("v") == "block").cast("int")).alias("b"), F.max((F.col("v") == "allow").cast("int")).alias("a"))
     blocked = staged(parts.join(said.where("b = 1 and a = 0"), "component").select("node").distinct().withColumn("spread", F.lit("block")), "url-blocked")
-    return base.join(blocked, "node", "left").select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "spread", F.lit("allow")).alias("verdict"))
+    # Pages without a host have no node; they would all meet in one task of the join.
+    joined = base.where("node is not null").join(blocked, "node", "left").unionByName(base.where("node is null").withColumn("spread", F.lit(None).cast("string")))
+    return joined.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "spread", F.lit("allow")).alias("verdict"))
 
 
 def _sql_rule(field: int) -> str:
@@ -137,9 +153,11 @@ raw AS (SELECT url AS src_url, host, path, unnest([regexp_extract(regexp_extract
 abs AS (SELECT src_url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(src_url, '^([^:]*):', 1) || ':' || link
   WHEN starts_with(link, '/') THEN regexp_extract(src_url, '^([^:]*):', 1) || '://' || host || link
   ELSE regexp_extract(src_url, '^([^:]*):', 1) || '://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END AS dst_url FROM raw WHERE link <> ''),
-e AS (SELECT {_sql_node('src_url')} AS a, {_sql_node('dst_url')} AS b FROM abs),
+canon0 AS (SELECT url, regexp_replace(host, '^(www|m)[.]', '') AS ch, path, list_filter(string_split(regexp_extract({_sql_rest('url')}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(ref|utm_[a-z]+)=')) AS qs FROM p WHERE url IS NOT NULL),
+canon AS (SELECT url AS src_url, 'https://' || ch || path || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END AS dst_url FROM canon0 WHERE ch <> ''),
+e AS (SELECT {_sql_node('src_url')} AS a, {_sql_node('dst_url')} AS b FROM (SELECT src_url, dst_url FROM abs UNION ALL SELECT src_url, dst_url FROM canon)),
 sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
-ends AS (SELECT node, said FROM own UNION SELECT node, {_sql_rule(1)} FROM (SELECT {_sql_node('dst_url')} AS node, {_sql_host('dst_url')} AS host, {_sql_path('dst_url')} AS path FROM abs)),
+ends AS (SELECT node, said FROM own UNION SELECT node, {_sql_rule(1)} FROM (SELECT {_sql_node('dst_url')} AS node, {_sql_host('dst_url')} AS host, {_sql_path('dst_url')} AS path FROM (SELECT dst_url FROM abs UNION ALL SELECT dst_url FROM canon))),
 spread AS (SELECT r.a AS node FROM reach r JOIN ends ON ends.node = r.b WHERE said IS NOT NULL GROUP BY r.a HAVING bool_or(said = 'block') AND NOT bool_or(said = 'allow'))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN spread.node IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM own LEFT JOIN spread ON spread.node = own.node"""
