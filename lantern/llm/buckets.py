@@ -19,10 +19,12 @@ from lantern.llm.tables import LONG_PAIR, beside, staged
 
 #: Rows of a bucket that one task compares by itself.
 BLOCK = 4096
+#: Joined ids that a task holds before it sends them on.
+HELD = 200_000
 
 
 class Memo:
-    """What a group of buckets has learned: which ids are joined, which pairs aren't linked, and sets of what was seen, up to a bound."""
+    """What a task has learned: which ids are joined; and of the buckets at hand, which pairs aren't linked, and sets of what was seen, up to a bound."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -35,6 +37,23 @@ class Memo:
             x = u
         return x
 
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        self.up[max(a, b)] = min(a, b)
+
+    def turn(self) -> None:
+        """On to other buckets, whose pairs are others."""
+        self.apart.clear()
+        self.sets.clear()
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        """Each joined id beside the least one of its group; and forget them."""
+        ids = list(self.up)
+        roots = [self.find(x) for x in ids]
+        self.up = {}
+        pairs = [(r, x) for r, x in zip(roots, ids) if r != x]
+        return [r for r, _ in pairs], [x for _, x in pairs]
+
 
 class Matcher:
     """Compares the payloads of one bucket."""
@@ -59,7 +78,7 @@ class Matcher:
         if pair in m.apart:
             return False
         if self.sure(x, y):
-            m.up[m.find(a)] = m.find(b)
+            m.join(a, b)
             return True
         if len(m.apart) < 100_000:
             m.apart.add(pair)
@@ -130,19 +149,16 @@ def _pairs(a: list[int], b: list[int], long: list[tuple[int, int]]) -> pa.Record
 
 
 def _per_bucket(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatch]:
-    """Rows (head, key, id, payload), grouped by (head, key); a memo lasts as long as the head."""
-    key, ids, loads, n, memo = None, [], [], 0, Memo()
+    """Rows (head, key, id, payload), grouped by (head, key).  What a task joins comes out as stars, each id once."""
+    key, ids, loads, n, memo, long = None, [], [], 0, Memo(), []
 
-    def done(a, b, long):
+    def done():
         if n > BLOCK:
             long.append((key[1], n))
         elif n > 1:
-            for x, y in forest(n, make(ids, loads, memo)):
-                a.append(ids[x])
-                b.append(ids[y])
+            forest(n, make(ids, loads, memo))
 
     for batch in batches:
-        a, b, long = [], [], []
         hs, ks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(ks):
             continue
@@ -151,9 +167,9 @@ def _per_bucket(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatc
         for s, e in zip(cuts, cuts[1:]):
             here = (int(hs[s]), int(ks[s]))
             if here != key:
-                done(a, b, long)
+                done()
                 if key is None or here[0] != key[0]:
-                    memo = Memo()
+                    memo.turn()
                 key, ids, loads, n = here, [], [], 0
             n += e - s
             if n <= BLOCK:
@@ -161,10 +177,11 @@ def _per_bucket(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatc
                 loads += what[s:e]
             else:
                 ids, loads = [], []  # counted, not kept
-        yield _pairs(a, b, long)
-    a, b, long = [], [], []
-    done(a, b, long)
-    yield _pairs(a, b, long)
+        if len(memo.up) > HELD:
+            yield _pairs(*memo.stars(), long)
+            long = []
+    done()
+    yield _pairs(*memo.stars(), long)
 
 
 def _per_block_pair(batches, make: Callable[..., Matcher]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +207,7 @@ def _per_block_pair(batches, make: Callable[..., Matcher]) -> Iterator[pa.Record
 
 
 def links_in_buckets(rows: DataFrame, make: Callable[..., Matcher], name: str) -> DataFrame:
-    """Links (a, b) among rows (head, key, id, payload) that share a key; each row once a key, and staged or cheap to read again.
+    """Pairs (a, b) that join what is linked among rows (head, key, id, payload) that share a key; each row once a key, and staged or cheap to read again.
 
     Keys of one head, which all have one `head` and are few, are looked at by one task in
     a row: near copies share most of their keys, and then are compared once, not for

@@ -118,12 +118,12 @@ class LineMatcher(Matcher):
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) of 64-bit keys, for lines of SHINGLE characters or more."""
     h32, cuts = shingle_hashes(lines)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    out, v = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h32)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
-            v = h32 ^ _XOR[r]
-            v *= _MUL[r]
+            np.bitwise_xor(h32, _XOR[r], out=v)
+            np.multiply(v, _MUL[r], out=v)
             key = (key ^ np.minimum.reduceat(v, cuts)) * _STEP[1]
             key ^= key >> np.uint64(32)
         out[:, b] = key
@@ -164,9 +164,9 @@ def _band_batches(batches):
                 sent = set()
             los, lines = np.array(list(fresh.values()), np.int64), list(fresh)
             at = 0
-            while at < len(lines):  # about 200,000 characters at a time stay in the cache
+            while at < len(lines):  # about 100,000 characters at a time stay in the cache
                 end, size = at, 0
-                while end < len(lines) and (end == at or size + len(lines[end]) < 200_000):
+                while end < len(lines) and (end == at or size + len(lines[end]) < 100_000):
                     size += len(lines[end])
                     end += 1
                 keys = band_keys(lines[at:end]).reshape(-1).view(np.int64)

@@ -104,6 +104,8 @@ class PrintMatcher(Matcher):
         self.fps = np.array(fps, np.int64).view(np.uint64)
 
     def joined(self, x: int, y: int) -> bool:
+        if self.ids:
+            self.memo.join(self.ids[x], self.ids[y])
         return True  # `may` has verified it
 
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
