@@ -85,8 +85,13 @@ class Matcher:
         return False
 
 
+_SECOND = np.array([1])
+
+
 def forest(n: int, match: Matcher) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among 0 .. n-1."""
+    if n == 2:  # most buckets
+        return [(0, 1)] if match.may(0, _SECOND)[0] and match.joined(0, 1) else []
     left, out = np.arange(n), []
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]

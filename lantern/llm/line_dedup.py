@@ -38,6 +38,8 @@ _XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MASK = (1 << 64) - 1
+_TRUE = np.array([True])
+_TRUE.flags.writeable = False
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -56,11 +58,27 @@ def shingles(line: str) -> set[str]:
     return {line} if n < SHINGLE else {line[i : i + SHINGLE] for i in range(n - SHINGLE + 1)}
 
 
+def packed_shingles(line: str) -> np.ndarray | None:
+    """The set of shingles of a Latin-1 line as sorted numbers of eight bytes, one a character; None for other lines."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    a = np.sort(np.ndarray((len(raw) - SHINGLE + 1,), np.uint64, raw, strides=(1,)))
+    return a[np.concatenate([_TRUE, a[1:] != a[:-1]])]
+
+
 def jaccard(a: set[str], b: set[str]) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
 
 
+def packed_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    c = np.sort(np.concatenate([a, b]))
+    both = int(np.count_nonzero(c[1:] == c[:-1]))
+    return both / (len(c) - both)
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of lines of SHINGLE characters or more, in a row, and where each line starts."""
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -96,23 +114,27 @@ class LineMatcher(Matcher):
             self.bits = np.concatenate([bitmaps(lines[at : at + 256]) for at in range(0, len(lines), 256)])
             self.sizes = np.array([len(self.of(i)) for i in range(len(lines))], np.int64)
 
-    def of(self, i: int) -> set[str]:
+    def of(self, i: int) -> np.ndarray | set[str]:
         sets, one = self.memo.sets, self.ids[i]
         if one not in sets:
             if len(sets) > REMEMBERED_SETS:
                 sets.clear()
-            sets[one] = shingles(self.loads[i])
+            packed = packed_shingles(self.loads[i])
+            sets[one] = shingles(self.loads[i]) if packed is None else packed
         return sets[one]
 
     def may(self, x: int, others: np.ndarray) -> np.ndarray:
         if len(self.loads) <= 4:
-            return np.ones(len(others), bool)
+            return np.ones(len(others), bool)  # the caller writes into it
         n, m, a, b = self.sizes[x], self.sizes[others], self.bits[x], self.bits[others]
         most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
         return most >= SIMILARITY * (n + m - most) - 1e-6
 
     def sure(self, x: int, y: int) -> bool:
-        return jaccard(self.of(x), self.of(y)) >= SIMILARITY
+        a, b = self.of(x), self.of(y)
+        if isinstance(a, np.ndarray) and isinstance(b, np.ndarray):
+            return packed_jaccard(a, b) >= SIMILARITY
+        return jaccard(shingles(self.loads[x]), shingles(self.loads[y])) >= SIMILARITY
 
 
 def band_keys(lines: list[str]) -> np.ndarray:

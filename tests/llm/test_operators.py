@@ -183,6 +183,41 @@ def test_line_dedup(spark, hard, empty):
     assert left == {(1, "common line of some length", 1, 2), (2, "", 1, 2), (2, "\nend", 1, 2), (None, "only in this row\nlast", 1, 2)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab éÿ漢", min_size=8, max_size=40), st.text(alphabet="ab éÿ漢", min_size=8, max_size=40))
+def test_lines_are_compared_exactly(a, b):
+    match = line_dedup.LineMatcher([1, 2], [a, b], buckets.Memo())
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in (a, b)]
+    assert match.sure(0, 1) == (len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]))
+    five = line_dedup.LineMatcher([1, 2, 3, 4, 5], [a, b, a, a, a + "x"], buckets.Memo())
+    assert five.may(0, np.array([1]))[0] or not match.sure(0, 1)
+
+
+def test_buckets_of_lines():
+    """Over buckets of two to forty lines, some similar and some not, tasks join exactly what all pairs join."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    lines = []
+    for _ in range(120):
+        base = "".join(rng.choices("abcdefgh ", k=rng.randint(30, 120)))
+        for _ in range(rng.choice([1, 2, 2, 3, 6])):
+            cut = rng.randrange(len(base))
+            lines.append(base[:cut] + rng.choice(["x", "yy", "漢", "zzzzzzzzzzzz"]) + base[cut + 1 :])
+    buckets_ = [sorted(rng.sample(range(len(lines)), n)) for n in (3, 5, 17, 40)] + [[i, i + 1] for i in range(len(lines) - 1)]
+    rows = sorted((b[0], k, i) for k, b in enumerate(buckets_) for i in b)
+    batches = [pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows[at : at + 50]], pa.int64()) for c in range(3)), pa.array([lines[r[2]] for r in rows[at : at + 50]])], names=["head", "key", "id", "payload"]) for at in range(0, len(rows), 50)]
+    got, want = buckets.Memo(), buckets.Memo()
+    for b in buckets._per_bucket(batches, line_dedup.LineMatcher):
+        for r in b.to_pylist():
+            got.join(r["a"], r["b"])
+    for b in buckets_:
+        for x, y in combinations(b, 2):
+            if line_dedup.jaccard(line_dedup.shingles(lines[x]), line_dedup.shingles(lines[y])) >= 0.8:
+                want.join(x, y)
+    assert [got.find(i) for i in range(len(lines))] == [want.find(i) for i in range(len(lines))] and len(set(map(want.find, range(len(lines))))) < len(lines)
+
+
 def brute_spans(t):
     out = []
     for k, (kind, p) in enumerate((("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"))):
