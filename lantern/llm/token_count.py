@@ -76,10 +76,10 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Counts tokens of whole texts; one per worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         self.tokenizer = library(path)
         self.special = tuple(a.content for a in self.tokenizer.get_added_tokens_decoder().values())
-        whole = whole_tokens(path)
+        whole = whole_tokens(path) if whole is None else whole
         self.whole = whole
         #: Stretches after a space, keyed without it.
         self.known = {x[1:]: 1 for x in whole if x[0] == " " and len(x) > 1 and not re.search(r"\s", x[1:])}
@@ -132,9 +132,9 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, whole)
     return _counters[path]
 
 
@@ -149,9 +149,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     Rows stay rows: repeated and null doc_ids come out as they came in.
     """
     path = path or default_vocabulary()
+    # Proved once, by the driver; the set is part of a vocabulary, so its size has a bound.
+    proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches):
-        count = counter(path)
+        count = counter(path, proven.value)
         for whole in batches:
             for b in slices(whole):
                 texts = b.column(1).to_pylist()

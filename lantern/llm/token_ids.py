@@ -281,7 +281,8 @@ def write_shards(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, n
         if ids:
             yield out()
 
-    dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    # Lengths split ranges of one id, such as null.
+    dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), "n").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     made = dealt.mapInArrow(shards, "first_id long, part int, seq int, n_docs long, n_ids long, nulls boolean, shard binary")
     out = f"{checkpoint_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     made.write.option("compression", "none").parquet(out)

@@ -411,6 +411,95 @@ def test_mixing(spark, hard, empty):
     assert mixing.mixture(hard).count() == HARD_ROWS and mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_limits(spark):
+    """Entropies are met or refused, budgets are kept, and repeated and null ids are read by themselves."""
+    docs = spark.createDataFrame([(i, "w " * 10, f"s{min(i // 40, 3)}") for i in range(400)], "doc_id long, text string, source string")
+    size = {"s0": 400, "s1": 400, "s2": 400, "s3": 2800}
+
+    def entropy(rows):
+        read = {s: sum(r["n_tokens"] * r["copies"] for r in rows if r["source"] == s) for s in size}
+        p = np.array(list(read.values())) / sum(read.values())
+        return float(-(p * np.log(p)).sum()), read
+
+    for target in (1.3, 1.0, 0.6):
+        e, read = entropy(mixing.mixture(docs, None, target).collect())
+        assert abs(e - target) < 0.06 and min(read[s] / n for s, n in size.items()) >= 0.99
+    for bad in ({"target_entropy": 0.0}, {"target_entropy": 0.5, "max_epochs": 1.5}, {"max_epochs": 0.5}):
+        with pytest.raises(ValueError):
+            mixing.mixture(docs, **{"max_epochs": None, **bad})
+    rows = mixing.mixture(docs, 2.0, budget=2000).collect()
+    assert abs(sum(r["n_tokens"] * r["copies"] for r in rows) - 2000) <= 40 and min(r["copies"] for r in rows) == 0
+    two = spark.createDataFrame([(1000, "w " * 90, "big"), (1000, "x " * 30, "small"), (None, "y " * 30, "small"), (None, "z " * 90, "big")], "doc_id long, text string, source string").withColumns({"copies": F.lit(7), "start": F.lit(8)})
+    got = sorted(r["text"][0] for r in mixing.mix(two, 2.0).collect())
+    plan = sorted(c for r in mixing.mixture(two, 2.0).collect() for c in [(r["source"], r["n_tokens"], r["copies"])])
+    assert mixing.mix(two).columns == two.columns and got.count("w") == got.count("z") == 1 and got.count("x") + got.count("y") == sum(c for s, _, c in plan if s == "small") > 2
+
+
+def test_broken_media(spark):
+    good = matroska.mux(b"\1" * 640)
+    rows = [(1, good), (2, None), (3, b""), (4, good[:-5]), (5, b"no file"), (6, good.replace(b"\x44\x89\x88", b"\x44\x89\x87", 1)), (None, good)]
+    got = matroska.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    by = {i: [r for r in got if r["media_id"] == i] for i in (1, 2, 3, 4, 5, 6, None)}
+    assert by[1] and by[None] and all(r["error"] is None for i in (1, None) for r in by[i]) and b"".join(good[r["byte_start"] : r["byte_end"]] for r in by[1]) == b"\1" * 640
+    assert all(len(by[i]) == 1 and by[i][0]["error"] and by[i][0]["byte_start"] is None for i in (2, 3, 4, 5, 6))
+    with pytest.raises(matroska.Broken):
+        matroska._real(b"\0" * 10, 0, 10)
+    text = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    made = {r["doc_id"]: r for r in matroska.encode_documents(text).collect()}
+    for i, t in ((1, "some text"), (2, "")):
+        m = matroska.demux(made[i]["media"])
+        assert b"".join(made[i]["media"][p[5] : p[6]] for p in m.packets) == matroska.padded(t)[1]
+
+
+def test_block_groups_and_unknown_sizes():
+    """A file written by hand: a segment and a cluster without size, a block group that isn't a key frame, a simple block that is."""
+    e, u = matroska.element, matroska.uint
+    head = e(matroska.EBML, e(0x4282, b"webm"))
+    track = e(matroska.TRACKS, e(0xAE, u(0xD7, 3) + u(0x83, 1) + e(0x86, b"V_TEST")))
+    block = bytes([0x83]) + (5).to_bytes(2, "big") + b"\0" + b"frame one"
+    group = e(matroska.GROUP, e(matroska.BLOCK, block) + e(0xFB, b"\xff"))
+    simple = e(matroska.SIMPLE, bytes([0x83]) + (9).to_bytes(2, "big") + b"\x80" + b"frame two")
+    unknown = lambda ident, body: ident.to_bytes((ident.bit_length() + 7) // 8, "big") + b"\xff" + body
+    raw = head + unknown(matroska.SEGMENT, track + unknown(matroska.CLUSTER, u(matroska.TIMESTAMP, 100) + group + simple))
+    m = matroska.demux(raw)
+    assert [(p[1], p[2], p[3], raw[p[5] : p[6]]) for p in m.packets] == [(3, 105, False, b"frame one"), (3, 109, True, b"frame two")] and m.doc_type == "webm"
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """The whole pipeline on a small folder: every stage does to all rows what plain Python says, and columns stay."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    plain = [" ".join(rng.choices(vocab, k=60)) for _ in range(90)]
+    item = " ".join(rng.choices(vocab, k=25))
+    texts = plain[:] + [plain[0], plain[1] + " more"] + [f"{plain[2]} {item}"] + [f"you stupid moron {p}" for p in plain[10:40]]
+    docs = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(t.startswith("you"))) for i, t in enumerate(texts) if i != 92], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frames, df = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(f"{tmp_path}/out-{name}")
+        df = frames[name] = spark.read.parquet(f"{tmp_path}/out-{name}")
+    ids = {name: sorted(r["doc_id"] for r in f.select("doc_id").collect()) for name, f in frames.items()}
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all(f.columns == columns for name, f in frames.items() if name != "token_binary") and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_binary"]
+    assert ids["toxicity"] == list(range(93))
+    assert ids["near_dedup"] == [*range(90), 92] and ids["decontamination"] == list(range(90))
+    assert set(ids["mixing"]) == set(range(90)) and ids["token_binary"] == ids["mixing"]
+    lib = token_count.library(token_ids.default_vocabulary())
+    out = frames["token_binary"].orderBy("start").collect()
+    start = 0
+    for r in out:
+        want = np.array([*lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    assert [r["doc_id"] for r in out] == ids["mixing"]
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in out)
+
+
 def test_token_counts(hard, empty):
     lib = token_count.library(token_count.default_vocabulary())
     text = {r["doc_id"]: r["text"] for r in hard.collect()}
