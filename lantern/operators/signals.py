@@ -84,7 +84,7 @@ def graph_scores(files: DataFrame, adjacency: DataFrame, seeds: DataFrame, hops:
         found = adjacency.join(front.select("path"), "path", "left_semi").select(F.col("other").alias("path")).distinct()
         front = staged(found.join(seen.select("path"), "path", "left_anti").withColumn("hop", F.lit(h)), "signal-hop")
         seen = seen.union(front)
-    near = seen.where("hop > 0").select("path", (1.0 / F.col("hop")).alias("graph"))
+    near = seen.select("path", F.when(F.col("hop") > 0, 1.0 / F.greatest("hop", F.lit(1))).alias("graph"))
     return files.select("path").distinct().join(near, "path", "left").select("path", F.coalesce("graph", F.lit(0.0)).alias("graph"))
 
 
