@@ -75,7 +75,7 @@ def _lex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dense_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), hash_embedding(tx.tokenize(F.col("text")), DIM).alias("v"))
+    docs = dense.hash_vectors(table(spark, sf, "documents"), DIM)
     q = spark.range(1).select(hash_embedding(F.array(*[F.lit(t) for t in tx.tokens_of(QUERY)]), DIM).alias("v")).first()[0]
     return dense.nearest(docs, q, 200, "id", "v").select("id", "score")
 
@@ -147,8 +147,8 @@ def sim_matrix(spark, sf):
 
 
 def hash_embed(spark, sf):
-    v = hash_embedding(tx.tokenize(F.col("text")), DIM)
-    return table(spark, sf, "documents").select("doc_id", v.alias("v")).select("doc_id", F.posexplode("v").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), _r("x"))
+    v = dense.hash_vectors(table(spark, sf, "documents"), DIM)
+    return v.select(F.col("id").alias("doc_id"), F.posexplode("v").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), _r("x"))
 
 
 def _hybrid(spark, sf, how):
@@ -188,8 +188,7 @@ def _search(spark, sf, query, k=20, alpha=None):
     every = units(spark, sf)
     lex = lexical.top(lexical.bm25_scores(every.select("id", tx.enrich(F.col("content"), F.col("path")).alias("text")), query, "id"), max(200, k))
     q = spark.range(1).select(hash_embedding(F.array(*[F.lit(t) for t in tx.tokens_of(query)]), DIM).alias("v")).first()[0]
-    vectors = every.select("id", hash_embedding(tx.tokenize(F.col("content")), DIM).alias("v"))
-    near = dense.nearest(vectors, q, max(200, k), "id", "v").select("id", "score")
+    near = dense.nearest(dense.hash_vectors(every, DIM, "id", "content"), q, max(200, k), "id", "v").select("id", "score")
     return ranking.search_hybrid(query, near, lex, every, k, alpha).select("rank", "id", "path", "start_line", "end_line", "exact", _r("score"))
 
 

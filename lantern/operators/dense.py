@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions.columns import unused
-from lantern.functions.vectors import as_double, cosine, dot
+from lantern.functions.vectors import as_double, bucket, cosine, dot, let, norm
+from lantern.operators.lexical import terms
 
 #: Rows of queries that are broadcast at most; more are dealt in blocks.
 BLOCK = 2_000
@@ -50,6 +51,19 @@ def similarity(left: DataFrame, right: DataFrame, id_col: str = "vec_id", vec_co
     return out
 
 
+def hash_vectors(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, v): the hash embedding of every document, counted by aggregation; zeros for texts without tokens.
+
+    The same as the column `hash_embedding` gives, without a function of each token and
+    dimension.  Ids must not repeat; null ids give zeros.
+    """
+    at = terms(docs, id_col, text_col).select("id", bucket(F.col("term"), dim).alias("b"))
+    counts = at.groupBy("id").agg(F.array(*[F.count(F.when(F.col("b") == i, 1)).cast("double") for i in range(dim)]).alias("c"))
+    rows = docs.select(F.col(id_col).alias("id")).join(counts, "id", "left")
+    scaled = let(norm(F.col("c")), lambda n: F.transform("c", lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return rows.select("id", F.coalesce(scaled, F.array(*[F.lit(0.0)] * dim)).alias("v"))
+
+
 def ranked(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """(rank, id, score, and other columns) of the k best by raw product, ties to the lesser id."""
     from pyspark.sql import Window

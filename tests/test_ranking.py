@@ -108,3 +108,11 @@ def test_bm25_both_ways(spark, tmp_path):
     some = lexical.indexed_scores(index, query, stats["n"], stats["avgdl"], only=docs.where("doc_id < 5").selectExpr("doc_id AS id"))
     assert {r["id"]: round(r["score"], 9) for r in some.collect()} == {i: s for i, s in want.items() if i < 5}
     assert lexical.indexed_scores(index, "", 1, 1.0).count() == 0
+
+
+def test_hash_vectors_both_ways(spark):
+    from lantern.functions.vectors import hash_embedding
+
+    docs = spark.createDataFrame([(1, "alpha betaGamma alpha"), (2, ""), (3, None), (4, "x_y z 9")], "doc_id long, text string")
+    want = {r["doc_id"]: r["v"] for r in docs.select("doc_id", hash_embedding(tx.tokenize(F.col("text")), 8).alias("v")).collect()}
+    assert {r["id"]: r["v"] for r in dense.hash_vectors(docs, 8).collect()} == want
