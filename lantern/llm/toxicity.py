@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lantern.llm.tables import id_text, staged, unused
 from lantern.llm.token_count import slices
@@ -333,13 +334,17 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     repeated doc_ids need no care, and no row moves.
     """
     shared = _model(docs, labels, max_train)
-    (extra,) = unused(docs, "judged")
+    if isinstance(docs.schema["text"].dataType, T.StringType):
+        rows, at = docs, docs.columns.index("text")
+    else:
+        rows, at = docs.withColumn(unused(docs, "judged")[0], F.col("text").cast("string")), len(docs.columns)
+    width = len(docs.columns)
 
     def run(batches):
         score = Scorer(*shared.value)
         for whole in batches:
             for b in slices(whole, 512):
-                fine = [score(t) < THRESHOLD for t in b.column(b.num_columns - 1).to_pylist()]
-                yield b.select(range(b.num_columns - 1)).filter(pa.array(fine, pa.bool_()))
+                fine = [score(t or "") < THRESHOLD for t in b.column(at).to_pylist()]
+                yield b.select(range(width)).filter(pa.array(fine, pa.bool_()))
 
-    return docs.withColumn(extra, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
