@@ -51,6 +51,22 @@ def similarity(left: DataFrame, right: DataFrame, id_col: str = "vec_id", vec_co
     return out
 
 
+def put(vectors: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+    """`vectors` with those of `new` added, in place of theirs where an id is in both."""
+    return vectors.join(new.select(id_col), id_col, "left_anti").unionByName(new.select(*vectors.columns))
+
+
+def drop(vectors: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """`vectors` without those of `ids`."""
+    return vectors.join(ids.select(id_col), id_col, "left_anti")
+
+
+def vector_of(vectors: DataFrame, key, id_col: str = "id", vec_col: str = "vector") -> list[float] | None:
+    """The vector of an id, or None."""
+    row = vectors.where(F.col(id_col) == key).select(vec_col).first()
+    return None if row is None else row[0]
+
+
 def hash_vectors(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, v): the hash embedding of every document, counted by aggregation; zeros for texts without tokens.
 
