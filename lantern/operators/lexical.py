@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lantern.functions.text import IDENTIFIER, split_identifier, tokens_of
 
 K1, B = 1.5, 0.75
-#: Parts of the postings; a query reads as many as it has terms.
+#: Parts of the postings, unless said otherwise; a query reads as many as it has terms.
 BUCKETS = 64
 _PLAIN = r"^[A-Za-z][a-z]*$"
 
@@ -26,8 +26,17 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return raw.select("id", F.explode(F.when(F.col("raw").rlike(_PLAIN), F.array(F.lower("raw"))).otherwise(split_identifier(F.col("raw")))).alias("term"))
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    """The part of the postings that a term is in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def buckets_for(chunks: int) -> int:
+    """How many parts the postings of so many chunks have: some 20,000 chunks each, 1,024 at most."""
+    n = 1
+    while n < 1024 and chunks > 20_000 * n:
+        n *= 2
+    return n
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,10 +96,10 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     return hit.select("id", score.alias("score")).where("score > 0")
 
 
-def indexed_scores(index: DataFrame, query: str, n: int, avgdl: float, only: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def indexed_scores(index: DataFrame, query: str, n: int, avgdl: float, only: DataFrame | None = None, k1: float = K1, b: float = B, buckets: int = BUCKETS) -> DataFrame:
     """(id, score > 0), read from stored postings (id, term, tf, dl, bucket).
 
-    Only the parts of the query's terms are read.  `only` (column id) restricts the
+    Only the parts of the query's terms are read, of `buckets` that were written.  `only` (column id) restricts the
     result, not the statistics.
     """
     want = Counter(tokens_of(query))
@@ -98,7 +107,7 @@ def indexed_scores(index: DataFrame, query: str, n: int, avgdl: float, only: Dat
         return _none(index, "id")
     spark = index.sparkSession
     asked = spark.createDataFrame(sorted(want.items()), "term string, mult int")
-    parts = [r[0] for r in asked.select(bucket_of(F.col("term"))).distinct().collect()]
+    parts = [r[0] for r in asked.select(bucket_of(F.col("term"), buckets)).distinct().collect()]
     mine = index.where(F.col("bucket").isin(*parts) & F.col("term").isin(*sorted(want)))
     df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term of the query
     hit = mine.join(F.broadcast(df.join(asked, "term")), "term")

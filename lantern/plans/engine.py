@@ -119,7 +119,7 @@ class Engine:
             return self.spark.createDataFrame([], shape)
         every, n = self.chunks(), state["stats"]["total_chunks"]
         most = max(min(LEG, n), top_k)
-        lex = lexical.top(lexical.indexed_scores(self.store.table("postings"), query, n, state["avgdl"]), most * 3)
+        lex = lexical.top(lexical.indexed_scores(self.store.table("postings"), query, n, state["avgdl"], buckets=state["buckets"]), most * 3)
         if only is not None:
             lex = lex.join(only.select("id"), "id", "left_semi")
         lex = lexical.top(lex, most)
