@@ -99,9 +99,10 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     `edges` has columns `src` and `dst` of one orderable type.  Returns `node` and
     `component`, the least node that `node` can reach, for nodes that have an edge to
     another node; self-loops and nulls carry no information and vanish.  Each round is
-    aggregations and joins on node ids alone and is staged, so no task and no driver
-    ever holds a component; the number of rounds grows with the logarithm of the
-    largest one.  A graph that hasn't settled after `max_rounds` raises.
+    aggregations and joins on node ids alone and is staged; neither a task nor the
+    driver keeps a component in memory.  Edges of a hub stream through the joins of one
+    key, which adaptive execution splits where they are many.  The number of rounds
+    grows with the logarithm of the largest component.  A graph that hasn't settled after `max_rounds` raises.
     """
     e = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), name)
     kind = e.schema["src"].dataType
