@@ -11,7 +11,7 @@ from typing import Any
 
 from lantern.plans.index import Progress
 
-_ROOT_KEYS = ("working_directory", "cwd", "current_directory", "root", "project_root", "workspace_root")
+_ROOT_KEYS = "working_directory current_directory workspace_root project_root cwd root".split()
 
 
 def resolve_root(details: str | None = None, root: str | None = None) -> str:
@@ -31,7 +31,7 @@ def resolve_root(details: str | None = None, root: str | None = None) -> str:
         pass
     for line in text.splitlines():
         key, sign, value = line.partition(":")
-        if sign and key.strip().lower().replace(" ", "_").lstrip("-*_") in _ROOT_KEYS:
+        if sign and "_".join(key.lower().strip(" -*").split()) in _ROOT_KEYS:
             tried.append(value.strip())
     for t in tried:
         if t and os.path.isdir(os.path.expanduser(t)):
@@ -72,40 +72,37 @@ def parser() -> argparse.ArgumentParser:
             _search(p, 10 if name == "search" else 5)
         elif name == "explain":
             p.add_argument("text", help="the location")
-            p.add_argument("--no-index", action="store_true")
-            p.add_argument("--force", action="store_true")
-        elif name == "index":
-            p.add_argument("--force", action="store_true")
         elif name == "clear":
-            p.add_argument("--all", action="store_true", required=True, help="delete all indexes of the tree")
-            p.add_argument("--force", action="store_true", help="don't ask")
-            p.add_argument("--dry-run", action="store_true")
+            _switches(p, {"all": "delete all indexes of the tree", "dry-run": "only say what would go"})
         elif name == "embed":
             p.add_argument("texts", nargs="*")
             p.add_argument("--file", help="a text a line; - is standard input")
             p.add_argument("--dim", type=int)
-            p.add_argument("--no-normalize", action="store_true")
+            _switches(p, {"no-normalize": "lengths as they are"})
+        if name in ("explain", "index", "clear"):
+            _switches(p, {"force": "build again, or delete without asking"})
+        if name == "explain":
+            _switches(p, {"no-index": "the index as it is"})
     return top
 
 
+def _switches(p: argparse.ArgumentParser, named: dict[str, str]) -> None:
+    for name, text in named.items():
+        p.add_argument(f"--{name}", action="store_true", help=text)
+
+
 def _common(p: argparse.ArgumentParser) -> None:
-    p.add_argument("--environment-details", help="where the tree is, in words")
-    p.add_argument("--root")
-    p.add_argument("--include-text", action="store_true", default=None, help="index prose and data, too")
-    p.add_argument("--model", help="folder of a checkpoint; without one, an offline hash embedding")
-    p.add_argument("-f", "--fast", action="store_true", help="the 2-bit form of a model")
-    p.add_argument("--plain", action="store_true", help="text rather than JSON")
-    p.add_argument("--quiet", action="store_true")
-    p.add_argument("--no-progress", action="store_true")
+    for name, text in (("environment-details", "where the tree is, in words"), ("root", "the tree's folder"), ("model", "a checkpoint's folder or short name; without one, an offline hash embedding")):
+        p.add_argument(f"--{name}", help=text)
+    p.add_argument("--include-text", help="index prose and data, too", default=None, action="store_true")
+    p.add_argument("--fast", "-f", help="the 2-bit form of a model", action="store_true")
+    _switches(p, {"plain": "text rather than JSON", "quiet": "no progress", "no-progress": "no progress"})
 
 
 def _search(p: argparse.ArgumentParser, k: int = 10) -> None:
-    p.add_argument("--top-k", type=int, default=k)
-    p.add_argument("--alpha", type=float)
-    p.add_argument("--min-score", type=float, default=0.0)
-    p.add_argument("--hybrid", action="store_true", help="with graph neighbours of each file")
-    p.add_argument("--no-index", action="store_true", help="search the index as it is")
-    p.add_argument("--force", action="store_true")
+    for name, kind, default in (("top-k", int, k), ("alpha", float, None), ("min-score", float, 0.0)):
+        p.add_argument(f"--{name}", type=kind, default=default)
+    _switches(p, {"hybrid": "with graph neighbours of each file", "no-index": "search the index as it is", "force": "build the index again"})
 
 
 def _spark():
@@ -138,17 +135,17 @@ def plain_pack(pack: dict[str, Any], location: str | None = None) -> str:
     names = lambda key: ", ".join(p.rsplit("/", 1)[-1] for p in pack[key][:5])
     if location is None:
         counts = "  ".join(f"{label}={len(pack[key])}" for label, key in (("primary", "primary"), ("related", "related_files"), ("tests", "test_files"), ("imports", "imports"), ("symbols", "symbols")))
-        out = [format_context(pack), "", f"confidence={pack['confidence']:.3f}  {counts}"]
+        out = [format_context(pack), "", "confidence={confidence:.3f}  ".format(**pack) + counts]
     else:
-        out = [f"=== explain: {location} ===", f"confidence={pack['confidence']:.3f}"]
+        out = [f"=== explain: {location} ===", "confidence={confidence:.3f}".format(**pack)]
     out += [f"primary files: {', '.join(files)}"] if files else []
     out += [f"{label}: {names(key)}" for label, key in (("tests", "test_files"), ("imports", "imports"), ("imported_by", "imported_by")) if pack[key]]
     if location is None:
-        out += ["symbols: " + " ".join(s["name"] for s in pack["symbols"][:8])] if pack["symbols"] else []
+        out += ["symbols: " + " ".join([row["name"] for row in pack["symbols"]][:8])] if pack["symbols"] else []
         out += ["dep_chain: " + " -> ".join(p.rsplit("/", 1)[-1] for p in pack["dependency_chain"][:6])] if pack["dependency_chain"] else []
     else:
         for label, rows in (("symbols", pack["symbols"][:10]), ("callers", pack["callers"][:5]), ("callees", pack["callees"][:5])):
-            out += ["", f"{label}:"] + [f"  {s.get('kind', '')} {s['name']}  {s['file']}:{s['line']}".replace("   ", "  ") for s in rows] if rows else []
+            out += ["", f"{label}:"] + ["  " + "{} {name}  {file}:{line}".format(row.get("kind", ""), **row).strip() for row in rows] if rows else []
     return "\n".join(out)
 
 
@@ -184,6 +181,8 @@ def main(argv: list[str] | None = None) -> int:
             top.error("--top-k must be positive and --min-score not negative")
     root = resolve_root(a.environment_details, a.root)
     if command == "clear":
+        if not a.all:
+            top.error("clear needs --all")
         return clear(root, a.force, a.dry_run)
     spark = _spark()
     if command == "embed":
@@ -206,7 +205,7 @@ def main(argv: list[str] | None = None) -> int:
     if command == "index" or not getattr(a, "no_index", False):
         stats = engine.index(force=getattr(a, "force", False), include_text=a.include_text, progress=bar)
         if command == "index":
-            say(f"{'up to date' if stats.up_to_date else 'ready'}: {stats.indexed_files} files, {stats.total_chunks} chunks ({stats.memo_hits} reused, {stats.embedded_chunks} embedded) in {stats.index_time_ms / 1000:.2f}s" if a.plain else stats.as_dict())
+            say(f"{'up to date' if stats.up_to_date else 'ready'}: {stats.indexed_files} files, {stats.total_chunks} chunks ({stats.embedded_chunks} embedded, {stats.memo_hits} reused) in {stats.index_time_ms / 1000:.2f}s" if a.plain else stats.as_dict())
             return 0
     text = a.query if a.command is None else a.text
     if command == "search":

@@ -47,7 +47,7 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr("doc_id AS id", f"{_UNIT_PATH} AS path", f"{_UNIT_CODE} AS content", *_LINES.split(", "))
 
 
-_SPLIT = r"""list_transform(CASE WHEN contains(t, '_') THEN list_filter(string_split(t, '_'), lambda p: p <> '') ELSE regexp_extract_all(regexp_replace(t, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') END, lambda p: lower(p))"""
+_SPLIT = r"""list_transform(CASE WHEN contains(t, '_') THEN list_filter(string_split(t, '_'), lambda p: p <> '') ELSE regexp_extract_all(regexp_replace(t, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '\d+|[A-Z]?[a-z]+|[A-Z]+') END, lambda p: lower(p))"""
 
 
 def _tokens_sql(text: str) -> str:
@@ -304,7 +304,7 @@ _DEF_WORDS = "typedef|type|trait|struct|record|protocol|package|object|namespace
 
 
 def _def_sql(name: str) -> str:
-    return rf"regexp_matches(content, '(^|\s)({_DEF_WORDS})\s+([A-Za-z_][A-Za-z0-9_]*(\.|::))*{name}(\s|$|[<({{:;]|\[)', 'n')"
+    return rf"regexp_matches(content, '(^|\s)({_DEF_WORDS})\s+([A-Za-z_]\w*(\.|::))*{name}(\s|$|[<({{:;]|\[)', 'n')"
 
 
 _STEM = r"regexp_replace(parse_filename(path), '^(.+)\.[^.]+$', '\1')"

@@ -18,7 +18,7 @@ from lantern.sources import ignore
 
 table = base.table
 
-# -- sources: paths of a tree, derived from documents ---------------------------
+# Sources: paths of a tree, derived from documents.
 
 _TREE = """CASE doc_id % 12 WHEN 0 THEN concat('src/m', doc_id, '.py') WHEN 1 THEN concat('src/m', doc_id, '.log') WHEN 2 THEN concat('src/keep', doc_id % 24, '.log') WHEN 3 THEN concat('build/m', doc_id, '.py')
  WHEN 4 THEN concat('src/gen/m', doc_id, '.py') WHEN 5 THEN concat('docs/m', doc_id, '.md') WHEN 6 THEN concat('lib/sub/m', doc_id, '.go') WHEN 7 THEN concat('lib/sub/deep/m', doc_id, '.py') WHEN 8 THEN concat('node_modules/p', doc_id, '/index.js')
@@ -40,7 +40,7 @@ def languages_of_files(spark: SparkSession, sf: str) -> DataFrame:
     return paths.select("doc_id", name.alias("language"), F.coalesce(languages.is_text(name), F.lit(False)).alias("is_text"))
 
 
-# -- chunks and places ----------------------------------------------------------
+# Chunks and places.
 
 
 def chunks_at_line(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +64,7 @@ def resolved_paths(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(found, "location", "left")
 
 
-# -- queries and scores ---------------------------------------------------------
+# Queries and scores.
 
 
 def query_kinds(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def sif_weights(spark: SparkSession, sf: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("term", base._r(F.lit(0.05) / (F.lit(0.05) + F.col("n") / F.col("total")), "weight"))
 
 
-# -- graph: Python files, one a part --------------------------------------------
+# Graph: Python files, one a part.
 
 _PY = """concat('import m', p_partkey % 9, chr(10), 'from m', p_partkey % 5, '.sub import f', p_partkey % 11, chr(10), chr(10), 'class C', p_partkey % 3, ':', chr(10), '    pass', chr(10), chr(10),
  'def f', p_partkey, '(x):', chr(10), '    return f', p_partkey % 13, '(x)', CASE WHEN p_partkey % 17 = 0 THEN ' (' ELSE '' END, chr(10))"""
@@ -213,7 +213,7 @@ def tests_of_files(spark: SparkSession, sf: str) -> DataFrame:
     return graph.test_files(files, files.where("NOT path LIKE '%test%'").distinct())
 
 
-# -- the index ------------------------------------------------------------------
+# The index.
 
 
 def index_reconcile(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,7 +269,7 @@ SELECT doc_id, language, coalesce(language = 'markdown', false) AS is_text FROM
 h AS (SELECT location, p.path FROM a JOIN p ON p.path = a.location OR ends_with(p.path, '/' || a.location))
 SELECT a.location, CASE WHEN bool_or(h.path = a.location) THEN a.location WHEN count(h.path) = 1 THEN min(h.path) END AS path FROM a LEFT JOIN h USING (location) GROUP BY a.location""",
     "query_kinds": r"""WITH q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN replace(p_name, ' ', '.') ELSE p_brand END AS q FROM part),
-s AS (SELECT p_partkey, regexp_full_match(trim(q), '[A-Za-z_][A-Za-z0-9_]*((::|\\|->|[.])[A-Za-z_][A-Za-z0-9_]*)+') OR regexp_full_match(trim(q), '_[A-Za-z0-9_]*') OR regexp_full_match(trim(q), '[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*') OR regexp_full_match(trim(q), '[A-Z][A-Za-z0-9]*') AS symbol FROM q)
+s AS (SELECT p_partkey, regexp_full_match(trim(q), '[A-Za-z_]\w*((::|\\|->|[.])[A-Za-z_]\w*)+') OR regexp_full_match(trim(q), '_\w*') OR regexp_full_match(trim(q), '[A-Za-z][0-9A-Za-z]*[A-Z_]\w*') OR regexp_full_match(trim(q), '[A-Z][A-Za-z0-9]*') AS symbol FROM q)
 SELECT p_partkey, symbol, CASE WHEN symbol THEN 0.3 ELSE 0.75 END::DOUBLE AS alpha FROM s""",
     "bm25_filtered": f"WITH {base._bm25_sql()} SELECT id, round(score, 6) AS score FROM lex WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY lex.score DESC, id LIMIT 20",
     "bm25_index": f"WITH {base._bm25_sql()} SELECT id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 20",

@@ -7,12 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_]*"
+#: All engines read \\w as ASCII here; Python is told to.
+IDENTIFIER = r"[a-zA-Z_]\w*"
 
 
 def camel_parts(tok: Column) -> Column:
     """Parts of a camelCase word; two passes, so that engines without look-ahead agree."""
-    return F.regexp_extract_all(F.regexp_replace(tok, r"([A-Z]+)([A-Z][a-z])", "$1 $2"), F.lit(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(tok, r"([A-Z]+)([A-Z][a-z])", "$1 $2"), F.lit(r"\d+|[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
 
 
 def split_identifier(tok: Column) -> Column:
@@ -61,10 +62,10 @@ def enrich(content: Column, path: Column) -> Column:
 # The same on the driver, for query strings.
 def tokens_of(text: str) -> list[str]:
     out = []
-    for tok in re.findall(IDENTIFIER, text):
+    for tok in re.findall(IDENTIFIER, text, re.ASCII):
         if "_" in tok:
             parts = [p.lower() for p in tok.split("_") if p]
         else:
-            parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", tok))]
+            parts = [p.lower() for p in re.findall(r"\d+|[A-Z]?[a-z]+|[A-Z]+", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", tok), re.ASCII)]
         out += [tok.lower(), *parts] if len(parts) >= 2 else [tok.lower()]
     return out

@@ -12,12 +12,14 @@ from lantern.functions.columns import unused
 from lantern.functions.text import directories, file_name, split_identifier, stem
 
 _NAME = r"[A-Za-z_]\w*"
+#: Between the parts of a qualified name; the first of these that occurs splits it.
+_MARKS = ["::", "\\"] + ["->", "."]
 SYMBOL_QUERY = re.compile(rf"^(?:{_NAME}(?:(?:::|\\|->|\.){_NAME})+|_\w*|[A-Za-z][A-Za-z0-9]*[A-Z_]\w*|[A-Z][A-Za-z0-9]*)$", re.ASCII)
 #: Names in mixed case within plain language.
 EMBEDDED = re.compile(r"\b(?:[A-Z][a-z][^\W_]*[A-Z][^\W_]*|[a-z][^\W_]*[A-Z][^\W_]+)\b", re.ASCII)
 #: Words that introduce a definition, of two words each in some languages.
 DEFINERS = "abstract class|class|data class|def|defmodule|enum|fn|fun|func|function|interface|module|namespace|object|package|protocol|record|struct|trait|type|typedef"
-STOP = frozenset("a an and are as at be by do does for from has have how if in is it not of on or the to was what when where which who why with".split())
+STOP = frozenset("a an as at be by do if in is it of on or to and are for has how not the was who why does from have what when with where which".split())
 DEFINITION, EMBEDDED_SCALE, COHERENCE, NAMED_FILE = 3.0, 0.5, 0.2, 1.5
 STEM_LENGTH = 4
 _TEST_FILE = r"(?:^|/)(?:test_[^/]*\.py|[^/]*_test\.(?:py|go)|[^/]*Tests?\.java|[^/]*\.(?:test|spec)\.[jt]sx?|test_helpers?[^/]*\.\w+)$"
@@ -72,7 +74,7 @@ def boost_coherent_files(c: DataFrame, path: str = "path", score: str = "score",
 
 def defines(content: Column, name: str) -> Column:
     """Does the text define `name`, qualified or not?  Case counts."""
-    return F.coalesce(content.rlike(rf"(?m)(?:^|\s)(?:{DEFINERS})\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*{re.escape(name)}(?:\s|[<(\{{:\[;]|$)"), F.lit(False))
+    return F.coalesce(content.rlike(rf"(?m)(?:^|\s)(?:{DEFINERS})\s+(?:[A-Za-z_]\w*(?:\.|::))*{re.escape(name)}(?:\s|[<(\{{:\[;]|$)"), F.lit(False))
 
 
 def stem_matches(stem_col: Column, name: str) -> Column:
@@ -99,10 +101,8 @@ def _any(tests: list[Column]) -> Column:
 
 def symbol_names(query: str) -> list[str]:
     """The last segment of a qualified name, and all of it."""
-    for mark in ("::", "\\", "->", "."):
-        if mark in query:
-            return sorted({query.rsplit(mark, 1)[-1], query.strip()})
-    return [query.strip()]
+    mark = next((m for m in _MARKS if m in query), None)
+    return sorted({query.strip() if mark is None else query.rsplit(mark, 1)[-1], query.strip()})
 
 
 def tier(content: Column, path: Column, names: list[str], unit: Column) -> Column:
@@ -132,7 +132,7 @@ def boost_definitions(c: DataFrame, names: list[str], unit: Column, content: str
 
 def query_keywords(query: str) -> list[str]:
     """Identifiers of three characters or more that aren't stop words, in lower case, once each."""
-    return sorted({w.lower() for w in re.findall(r"[a-zA-Z_][a-zA-Z0-9_]*", query) if len(w) > 2 and w.lower() not in STOP})
+    return sorted({w.lower() for w in re.findall(_NAME, query, re.ASCII) if len(w) > 2 and w.lower() not in STOP})
 
 
 def stem_share(path: Column, keywords: list[str]) -> Column:
@@ -169,7 +169,7 @@ def boost_query(c: DataFrame, query: str, chunks: DataFrame, score: str = "score
 
 def exact_identifiers(query: str) -> list[str]:
     """Words of a query with an underscore, a capital after the first letter, or a digit."""
-    words = re.findall(r"[A-Za-z_][A-Za-z0-9_]*", query)
+    words = re.findall(_NAME, query, re.ASCII)
     return sorted({w for w in words if "_" in w or any(x.isupper() for x in w[1:]) or any(x.isdigit() for x in w)})
 
 
@@ -236,7 +236,7 @@ def local(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def search_hybrid(query: str, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int = 10, alpha: float | None = None, min_score: float = 0.0) -> DataFrame:
+def search_hybrid(query: str, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int = 10, alpha: float | None = None, min_score: float = 0) -> DataFrame:
     """(rank, id, path, start_line, end_line, content, score, exact) of the k best chunks.
 
     `dense` and `lexical` have id and score of the best candidates of each leg, at most
@@ -246,10 +246,8 @@ def search_hybrid(query: str, dense: DataFrame, lexical: DataFrame, chunks: Data
     name or hold an identifier of the query (which stay distributed until the best 2k
     are taken), and for the texts of the result.
     """
-    if not query or not query.strip():
-        raise ValueError("the query is empty")
-    if k <= 0:
-        raise ValueError("k must be positive")
+    if not (query or "").strip() or k < 1:
+        raise ValueError("a search needs a query and a place for its result")
     weight = resolve_alpha(query, alpha)
     every = chunks.select("id", "path", "start_line", "end_line", "content")
     symbol = is_symbol_query(query)

@@ -19,19 +19,19 @@ NAMES = ("embedding", "filename", "path", "symbol", "graph", "import_rel", "idf"
 class Weights:
     """Weight of each signal; they are normalised, `structural` has no signal yet."""
 
-    embedding: float = 0.40
-    filename: float = 0.15
-    path: float = 0.10
+    embedding: float = 0.4
     symbol: float = 0.15
-    graph: float = 0.10
-    import_rel: float = 0.05
+    filename: float = 0.15
+    graph: float = 0.1
+    path: float = 0.1
     idf: float = 0.05
-    structural: float = 0.0
+    import_rel: float = 0.05
+    structural: float = 0
 
 
 def query_tokens(query: str) -> list[str]:
     """Tokens of a query, repeats included."""
-    return re.findall(r"[a-z0-9_]+", query.lower())
+    return re.findall(r"\w+", query.lower(), re.ASCII)
 
 
 def _set(tokens: list[str]) -> Column:

@@ -16,11 +16,22 @@ from lantern.plans import index as ix
 from lantern.sources.files import repo_root
 
 #: Suffixes after which `:line` names a place.
-PLACES = (".py", ".js", ".ts", ".rs", ".go", ".java", ".jsx", ".tsx")
+PLACES = tuple(f".{s}" for s in "go java js jsx py rs ts tsx".split())
 LEG = 200
 #: How many of each kind a pack keeps.
 CAPS = {"primary": 10, "related_files": 5, "test_files": 3, "imports": 2, "imported_by": 1, "symbols": 5, "callers": 2, "callees": 2, "dependency_chain": 3}
-EMPTY = {"confidence": 0.0, "primary": [], "related_files": [], "test_files": [], "imports": [], "imported_by": [], "symbols": [], "callers": [], "callees": [], "dependency_chain": [], "total_tokens": 0}
+EMPTY = {**{k: [] for k in CAPS}, "total_tokens": 0, "confidence": 0.0}
+
+
+#: Of a run's figures, those that the status tells.
+_TOLD = ("errors", "index_time_ms", "indexed_files", "languages", "memo_hits", "memo_misses", "total_chunks")
+
+
+def _said(text: str, what: str) -> str:
+    """The text without white space around it, which must leave something."""
+    if not (text or "").strip():
+        raise ValueError(f"the {what} is empty")
+    return text.strip()
 
 
 def index_folder(root: str, model_name: str) -> str:
@@ -41,7 +52,7 @@ class Engine:
         self._lock = threading.RLock()
         self._graph: tuple[str, DataFrame, DataFrame] | None = None
 
-    # -- index ---------------------------------------------------------------
+    # Index.
 
     @property
     def index_exists(self) -> bool:
@@ -87,9 +98,8 @@ class Engine:
         at = datetime.fromtimestamp(state["finished_at"], timezone.utc).isoformat() if state else None
         name = "indexing" if self.is_indexing else "error" if self.last_error else "ready" if stats.total_chunks else "empty"
         return {
-            "status": name, "root": self.root, "index_dir": self.folder, "model": self.model.name, "index_exists": self.index_exists, "indexed_files": stats.indexed_files, "total_chunks": stats.total_chunks,
-            "languages": stats.languages, "include_text_files": self.include_text, "is_indexing": self.is_indexing, "last_indexed_at": at, "last_index_error": self.last_error, "index_time_ms": stats.index_time_ms,
-            "memo_hits": stats.memo_hits, "memo_misses": stats.memo_misses, "up_to_date": stats.up_to_date if state else None, "errors": stats.errors,
+            "status": name, "model": self.model.name, "root": self.root, "index_dir": self.folder, "is_indexing": self.is_indexing, "index_exists": self.index_exists, "include_text_files": self.include_text,
+            "last_index_error": self.last_error, "last_indexed_at": at, "up_to_date": stats.up_to_date if state else None, **{k: getattr(stats, k) for k in _TOLD},
         }
 
     def changes(self) -> DataFrame:
@@ -98,21 +108,20 @@ class Engine:
         old = self.store.table("files") if self.index_exists else now.limit(0)
         return tables.snapshot_diff(old, now)
 
-    # -- search --------------------------------------------------------------
+    # Search.
 
     def chunks(self) -> DataFrame:
         return self.store.table("chunks")
 
-    def search(self, query: str, top_k: int = 10, alpha: float | None = None, min_score: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+    def search(self, query: str, top_k: int = 10, alpha: float | None = None, min_score: float = 0, *, only: DataFrame | None = None) -> DataFrame:
         """(rank, id, path, start_line, end_line, content, score, exact, language, source) of the best chunks; empty without an index.
 
         `only` (column id) restricts both legs: vectors before they are ranked, lexical
         hits after a longer list is cut.
         """
-        if not query or not query.strip():
-            raise ValueError("the query is empty")
-        if top_k <= 0:
-            raise ValueError("top_k must be positive")
+        _said(query, "query")
+        if top_k < 1:
+            raise ValueError(f"{top_k} results can't be found")
         shape = "rank int, id string, path string, start_line int, end_line int, content string, score double, exact boolean, language string, source string"
         state = self.store.state
         if state is None or not state["stats"]["total_chunks"]:
@@ -145,7 +154,7 @@ class Engine:
         found = self.search(row["content"], top_k + 1)
         return found.where(F.col("id") != chunk_id).orderBy("rank").limit(top_k)
 
-    # -- context -------------------------------------------------------------
+    # Context.
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of the indexed Python files, built once a version."""
@@ -183,10 +192,11 @@ class Engine:
         """The indexed path that a location means: itself, an absolute path in the tree, or the only one that ends in it."""
         if not self.index_exists:
             return None
-        wanted = location.strip().replace("\\", "/")
+        said = location.strip()
+        wanted = "/".join(said.split("\\"))
         wanted = wanted[2:] if wanted.startswith("./") else wanted
-        if os.path.isabs(os.path.expanduser(location.strip())):
-            inside = os.path.relpath(os.path.realpath(os.path.expanduser(location.strip())), self.root)
+        if os.path.isabs(os.path.expanduser(said)):
+            inside = os.path.relpath(os.path.realpath(os.path.expanduser(said)), self.root)
             wanted = wanted if inside.startswith("..") else inside
         p = F.col("path")
         found = [r["path"] for r in self.store.table("files").where((p == wanted) | p.endswith("/" + wanted)).select("path").orderBy(p != wanted, "path").limit(2).collect()]
@@ -194,9 +204,7 @@ class Engine:
 
     def explain(self, location: str) -> dict[str, Any]:
         """A file, a `file:line`, or else a search for what is written."""
-        if not location or not location.strip():
-            raise ValueError("the location is empty")
-        where = location.strip()
+        where = _said(location, "location")
         place, _, line = where.rpartition(":")
         choices = [(where, 0)]
         if place.endswith(PLACES):
@@ -220,7 +228,7 @@ class Engine:
 
 def format_context(pack: dict[str, Any]) -> str:
     """A pack as text for a reader."""
-    out = [f"[{pack['confidence']:.2f}] {pack['query']}"]
+    out = ["[{confidence:.2f}] {query}".format(**pack)]
     if pack["primary"]:
         out.append(f"  ({len(pack['primary'])} files)")
     out.append("")
@@ -229,7 +237,7 @@ def format_context(pack: dict[str, Any]) -> str:
         out.append(f"  {n}. {r['path']}:{span}  [{r['score']:.2f}]")
         out += [f"     {line}" for line in r["content"].strip()[:300].split("\n")]
     if pack["symbols"]:
-        out.append("  sym: " + " ".join([s["name"] for s in pack["symbols"][:6]] + ["..."] * (len(pack["symbols"]) > 6)))
+        out.append("  sym: " + " ".join([row["name"] for row in pack["symbols"]][:6] + ["..."] * (len(pack["symbols"]) > 6)))
     base = lambda paths: ", ".join(p.rsplit("/", 1)[-1] for p in paths[:2])
     hints = [f"{label}: {base(names)}" for label, names in (("tests", pack["test_files"]), ("deps", pack["imports"]), ("callers", [c["name"] for c in pack["callers"]])) if names]
     return "\n".join(out + (["  " + " | ".join(hints)] if hints else []))
@@ -250,7 +258,8 @@ def pack_json(pack: dict[str, Any], location: str | None = None, formatted: bool
     keys = ["related_files", "test_files", "imports", "imported_by", "symbols", "callers", "callees", "dependency_chain", "total_tokens"]
     if location is not None:
         keys = [k for k in keys if k not in ("imports", "imported_by")]
-    out = {**head, "confidence": pack["confidence"], "primary_files": sorted({r["path"] for r in pack["primary"]}), **{k: pack[k] for k in keys}}
+    files = sorted({r["path"] for r in pack["primary"]})
+    out = {**head, "primary_files": files, "confidence": pack["confidence"], **{k: pack[k] for k in keys}}
     return {**out, "formatted": format_context(pack)} if formatted else out
 
 

@@ -18,7 +18,7 @@ def _check(query: str, top_k: int, min_score: float = 0.0) -> None:
         raise ValueError("min_score must not be negative")
 
 
-def search(engine: Engine, query: str, top_k: int = 10, min_score: float = 0.0) -> dict[str, Any]:
+def search(engine: Engine, query: str, top_k: int = 10, min_score: float = 0) -> dict[str, Any]:
     """The best chunks for a query in plain language or a symbol."""
     _check(query, top_k, min_score)
     rows = engine.search(query, top_k, min_score=min_score).collect()

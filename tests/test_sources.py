@@ -7,33 +7,40 @@ from pyspark.sql import functions as F
 from lantern.functions import languages
 from lantern.sources import files, ignore
 
+#: Lines of an ignore file, and files; both in words.
 CASES = [
-    (["*.log"], ["a.log", "b.py", "sub/c.log", "sub/d.py"]),
-    (["*.log", "!keep.log"], ["a.log", "keep.log", "b.py"]),
-    (["build/"], ["build/x.py", "main.py"]),
-    (["**/gen/"], ["gen/a.py", "sub/gen/b.py", "main.py"]),
-    (["sub/*.py"], ["sub/x.py", "sub/deep/y.py", "other/z.py"]),
-    (["# comment", "", "*.tmp"], ["a.tmp", "b.py"]),
-    (["*.py", "!sub/keep.py"], ["a.py", "sub/keep.py", "sub/deep/y.py"]),
-    (["/top.py", "a?c.py", "[xy].py", "docs/**"], ["top.py", "sub/top.py", "abc.py", "ac.py", "x.py", "z.py", "docs/a.py", "docs/b/c.py"]),
-    (["sub/**/z.py", r"\#odd.py", "trail.py   "], ["sub/z.py", "sub/a/b/z.py", "#odd.py", "trail.py", "z.py"]),
+    ("*.log", "one.log two.py sub/three.log sub/four.py"),
+    ("*.log !keep.log", "one.log keep.log two.py"),
+    ("build/", "build/in.py out.py"),
+    ("**/gen/", "gen/in.py sub/gen/deep.py out.py"),
+    ("sub/*.py", "sub/in.py sub/deep/out.py other/out.py"),
+    ("#comment *.tmp", "one.tmp two.py"),
+    ("*.py !sub/keep.py", "one.py sub/keep.py sub/deep/two.py"),
+    ("/top.py a?c.py [xy].py docs/**", "top.py sub/top.py abc.py ac.py x.py z.py docs/a.py docs/b/c.py"),
+    (r"sub/**/z.py \#odd.py", "sub/z.py sub/a/b/z.py #odd.py z.py"),
 ]
-WANTED = [".py", ".log", ".tmp"]
+WANTED = ".log .py .tmp".split()
+
+
+def git(*args):
+    return subprocess.run(["git", *map(str, args)], check=True, text=True, capture_output=True).stdout
 
 
 def make(root, names, text="x\n"):
     for n in names:
         p = root / n
-        p.parent.mkdir(parents=True, exist_ok=True)
+        os.makedirs(p.parent, exist_ok=True)
         p.write_text(text)
 
 
 @pytest.mark.parametrize("lines,names", CASES)
 def test_rules_as_git(spark, tmp_path, lines, names):
-    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    lines, names = [*lines.split(), "", "trail.py   "], [*names.split(), "trail.py"]
+    git("init", tmp_path)
     make(tmp_path, names)
-    (tmp_path / ".gitignore").write_text("\n".join(lines))
-    out = subprocess.run(["git", "-C", str(tmp_path), "ls-files", "-co", "--exclude-standard", "-z"], capture_output=True, text=True, check=True).stdout
+    ignore_file = tmp_path / ".gitignore"
+    ignore_file.write_text("".join(x + "\n" for x in lines))
+    out = git("-C", tmp_path, *"ls-files -z --cached --others --exclude-standard".split())
     # The folder names that are never indexed are ours, not git's.
     want = sorted(x for x in out.split("\0") if x and x != ".gitignore" and not x.startswith("build/"))
     assert sorted(os.path.relpath(p, os.path.realpath(tmp_path)) for p in files.walk(os.path.realpath(tmp_path), WANTED)) == want
@@ -50,7 +57,7 @@ def test_walk(spark, tmp_path):
     tree = tmp_path / "a"
     make(tree, ["src/main.py", "src/gen/x.py", "node_modules/m.py", ".venv/v.py", "dist/d.py", "b.log", "pkg/__init__.py", "pkg/_hidden.py", "p/q/r/s/t/deep.py"])
     (tree / "src/.gitignore").write_text("gen/\n")
-    (tree / ".indexignore").write_text("*.log\n")
+    (tree / ".indexignore").write_text("*.log")
     os.symlink(tree / "src/main.py", tree / "link.py")
     os.symlink(tree / "src", tree / "linked")
     assert walked(spark, tree) == ["p/q/r/s/t/deep.py", "pkg/__init__.py", "pkg/_hidden.py", "src/main.py"]
@@ -61,7 +68,7 @@ def test_rules_above_the_root(spark, tmp_path):
     """Ignore files from the repository's root down apply, those above it don't; nearer ones win; a negation by name takes any suffix back."""
     make(tmp_path, ["r/backend/api/main.py", "r/backend/api/gen.py", "r/backend/api/x.log", "r/backend/api/important.log", "r/backend/api/skip.py", "r/backend/api/note.xyz"])
     (tmp_path / ".gitignore").write_text("main.py\n")
-    subprocess.run(["git", "init", "-q", str(tmp_path / "r")], check=True)
+    git("init", tmp_path / "r")
     (tmp_path / "r/.gitignore").write_text("*.log\n*.xyz\n")
     (tmp_path / "r/backend/.gitignore").write_text("gen.py\n")
     (tmp_path / "r/backend/api/.gitignore").write_text("!important.log\n!note.xyz\n")
