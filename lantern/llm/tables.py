@@ -27,6 +27,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's default is 64 MB, of which a task holds several copies.
+BATCH_BYTES, _BATCHES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of long texts at once.  Sets the session's option where it has the default; any other choice stays."""
+    if spark.conf.get(_BATCHES, None) == "67108864b":
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -34,6 +44,7 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     the tasks that were running.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,6 +96,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, coun
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the folder's tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
