@@ -116,3 +116,28 @@ def test_hash_vectors_both_ways(spark):
     docs = spark.createDataFrame([(1, "alpha betaGamma alpha"), (2, ""), (3, None), (4, "x_y z 9")], "doc_id long, text string")
     want = {r["doc_id"]: r["v"] for r in docs.select("doc_id", hash_embedding(tx.tokenize(F.col("text")), 8).alias("v")).collect()}
     assert {r["id"]: r["v"] for r in dense.hash_vectors(docs, 8).collect()} == want
+
+
+def test_products_of_blocks(spark, monkeypatch):
+    """All pairs, bit for bit, over several blocks of both sides; the join deals blocks and no row is folded value by value."""
+    from lantern.functions.vectors import dot
+
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    monkeypatch.setattr(dense, "PIECE", 11)
+    rows = [(i, None if i % 13 == 0 else [float((i * 37 + d * 11) % 101) / 7 - 3 for d in range(0 if i % 17 == 0 else 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = dense.similarity(v.where("vec_id % 3 = 0"), v)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+    a, b = v.where("vec_id % 3 = 0").toDF("left", "a"), v.toDF("right", "b")
+    want = a.crossJoin(b).select("left", "right", F.when(F.size("a") == F.size("b"), dot(F.col("a"), F.col("b"))).alias("similarity"))
+    key = lambda r: (r["left"], r["right"])
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() == 1200
+
+
+def test_quick_rounding(spark):
+    from lantern import catalog
+
+    values = [0.0, -1e-9, 0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.1234565, 123456.7890125, 1e300, float("inf"), None, 1 / 3, -2 / 3, 4503.5996273705]
+    c = spark.createDataFrame([(x,) for x in values], "x double").select(catalog._quick_r("x"), catalog._r("x", "want"))
+    assert all(str(r["x"]) == str(r["want"]) for r in c.collect())
