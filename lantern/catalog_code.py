@@ -84,7 +84,7 @@ def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents again, from stored postings."""
     docs = table(spark, sf, "documents")
     path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-    lexical.postings(docs).withColumn("bucket", lexical.bucket_of(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    ix.bucketed(lexical.postings(docs), lexical.BUCKETS).write.partitionBy("bucket").parquet(path)
     size = lexical.lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return lexical.top(lexical.indexed_scores(spark.read.parquet(path), base.QUERY, size["n"], size["avgdl"]), 20).select("id", base._r("score"))
 

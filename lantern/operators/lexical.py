@@ -7,16 +7,26 @@ term, so that a query over it (`indexed_scores`) reads a few of its parts and no
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import IDENTIFIER, split_identifier, tokens_of
 
+cloudpickle.register_pickle_by_value(sys.modules[tokens_of.__module__])  # tasks need not see this package
+
 K1, B = 1.5, 0.75
 #: Parts of the postings, unless said otherwise; a query reads as many as it has terms.
 BUCKETS = 64
+#: Postings that a task holds at once, about.
+PIECE = 200_000
 _PLAIN = r"^[A-Za-z][a-z]*$"
 
 
@@ -39,13 +49,57 @@ def buckets_for(chunks: int) -> int:
     return n
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl) of every row by itself, counted where it is read; nothing moves.
+
+    Rows come in pieces of some PIECE, in order of term, so that they compress well
+    wherever they are sent.
+    """
+    words = re.compile(IDENTIFIER, re.ASCII)
+
+    def run(batches):
+        split = functools.lru_cache(maxsize=1 << 16)(tokens_of)
+        for b in batches:
+            ids, at, terms_, tf, dl = b.column(0), [], [], [], []
+
+            def piece():
+                t = pa.table({"id": ids.take(pa.array(at, pa.int64())), "term": pa.array(terms_, pa.string()), "tf": pa.array(tf, pa.int64()), "dl": pa.array(dl, pa.int64())})
+                for column in (at, terms_, tf, dl):
+                    column.clear()
+                return t.take(pc.sort_indices(t, sort_keys=[("term", "ascending")])).combine_chunks().to_batches()
+
+            for i, text in enumerate(b.column(1)):
+                counts: Counter[str] = Counter()
+                for raw, n in Counter(words.findall(text.as_py() or "")).items():
+                    for term in split(raw):
+                        counts[term] += n
+                at += [i] * len(counts)
+                terms_ += counts.keys()
+                tf += counts.values()
+                dl += [counts.total()] * len(counts)
+                if len(at) >= PIECE:
+                    yield from piece()
+            if at:
+                yield from piece()
+
+    rows = _texts(docs, id_col, text_col).where("id is not null")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, term string, tf long, dl long")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """(id, term, tf, dl); repeated ids count as one document.
 
-    Rows of a document lie together, so partial counts shrink it to its different terms
-    before anything moves.
+    Documents are counted where they are read.  Only where ids repeat, of which the ids
+    alone are asked unless `unique` says that they don't, counts are brought together.
     """
-    tf = terms(docs, id_col, text_col).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = counted(docs, id_col, text_col)
+    if unique or docs.groupBy(F.col(id_col).alias("id")).count().where("id is not null and count > 1").isEmpty():
+        return rows
+    tf = rows.groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     dl = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
     return tf.join(dl, "id").select("id", "term", "tf", "dl")
 
@@ -57,8 +111,18 @@ def term_stats(p: DataFrame) -> DataFrame:
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dl) of every row, zero for texts without tokens."""
-    counted = terms(docs, id_col, text_col).groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
-    return docs.select(F.col(id_col).alias("id")).join(counted, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    words = re.compile(IDENTIFIER, re.ASCII)
+
+    def run(batches):
+        split = functools.lru_cache(maxsize=1 << 16)(tokens_of)
+        for b in batches:
+            n = [sum(len(split(raw)) for raw in words.findall(text.as_py() or "")) for text in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "dl"])
+
+    rows = _texts(docs, id_col, text_col)
+    own = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, dl long")
+    total = F.sum("dl").over(Window.partitionBy("id"))
+    return own.select("id", F.when(F.col("id").isNull(), 0).otherwise(total).alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,18 @@ def test_quick_rounding(spark):
     values = [0.0, -1e-9, 0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.1234565, 123456.7890125, 1e300, float("inf"), None, 1 / 3, -2 / 3, 4503.5996273705]
     c = spark.createDataFrame([(x,) for x in values], "x double").select(catalog._quick_r("x"), catalog._r("x", "want"))
     assert all(str(r["x"]) == str(r["want"]) for r in c.collect())
+
+
+def test_postings_move_no_counts(spark):
+    """Counts are made where texts are read; repeated ids are one document, null ids none."""
+    docs = spark.createDataFrame([(1, "parse_csv parse HTTPServer parse"), (2, None), (3, ""), (4, "x y x")], "doc_id long, text string")
+    once = lexical.postings(docs)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    again = docs.unionByName(spark.createDataFrame([(4, "y z"), (None, "lost")], "doc_id long, text string"))
+    for d in (docs, again):
+        tf = lexical.terms(d).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        want = tf.join(tf.groupBy("id").agg(F.sum("tf").alias("dl")), "id").select("id", "term", "tf", "dl")
+        assert sorted(lexical.postings(d).collect()) == sorted(want.collect())
+        counts = lexical.terms(d).groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+        lens = d.select(F.col("doc_id").alias("id")).join(counts, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        assert sorted(lexical.lengths(d).collect(), key=str) == sorted(lens.collect(), key=str)
