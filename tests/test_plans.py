@@ -174,3 +174,29 @@ def test_watch(spark, tree, engine, tmp_path):
         assert until(lambda: paths() == {"pkg/auth.py", "pkg/y.py"})
     finally:
         q.stop()
+
+
+def test_reconciliation_writes_texts_once(spark, tree, tmp_path, monkeypatch):
+    """Texts go where they stay and are not staged elsewhere; joins with many keys and with few agree; equal chunks of the same lines are one."""
+    from lantern.plans import index as ix
+
+    names = []
+    monkeypatch.setattr(ix, "staged", lambda df, name, put=ix.staged: (names.append(name), put(df, name))[1])
+    (tree / "pkg/twice.py").write_text(("x = 1" * 500 + "\x0b") * 2 + "y = 2\n")
+    engines = [Engine(spark, str(tree), hash_model(spark), folder=str(tmp_path / f"i{i}")) for i in range(3)]
+    for e in engines[:2]:
+        e.index()
+    assert "index-once" in names and set(names) <= {"index-diff", "index-split", "index-once"}
+    del names[:]
+    (tree / "pkg/auth.py").write_text("# note\n" + AUTH)
+    (tree / "pkg/auth_copy.py").write_text("# note\n" + AUTH)
+    os.remove(tree / "pkg/twice.py")
+    stats = []
+    for e, few in zip(engines, (ix.FEW, 0, ix.FEW)):
+        monkeypatch.setattr(ix, "FEW", few)
+        s = e.index()
+        stats.append((s.total_chunks, s.memo_hits, s.memo_misses, s.embedded_chunks, s.changed_files, s.removed_files))
+    assert stats == [(3, 0, 2, 1, 2, 1)] * 2 + [(3, 0, 3, 2, 3, 0)] and set(names) == {"index-diff", "index-split"}
+    rows = lambda e: [sorted(map(tuple, e.store.table(t).collect()), key=str) for t in ("files", "chunks", "vectors", "postings")]
+    assert rows(engines[0]) == rows(engines[1]) == rows(engines[2])
+    assert all(len([d for d in os.listdir(e.folder) if d.startswith("v0")]) <= 2 for e in engines)
